@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, neardups, packing, pieces, scoring, sharding, substrings
+from . import fingerprints, language, licenses, neardups, packing, pieces, scoring, search, sharding, substrings
 
 
 def vocabulary(name: str) -> str:
@@ -51,6 +51,23 @@ def substrings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def license_files(docs: DataFrame) -> DataFrame:
+    """Documents as files of a tree: source/lang/n/doc_id, with every 50th a LICENSE of source/lang and every 250th one of source."""
+    name = F.concat_ws("/", (F.col("doc_id") / 64).cast("long").cast("string"), F.col("doc_id").cast("string"))
+    top = F.when(F.col("doc_id") % 250 == 0, F.concat(F.col("source"), F.lit("/LICENSE")))
+    path = F.coalesce(top, F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.when(F.col("doc_id") % 50 == 0, "LICENSE").otherwise(name)))
+    return docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+
+
+def licenses_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_files(license_files(_documents(spark, sf_dir))).withColumnRenamed("file_id", "doc_id")
+
+
+def search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = search.top_k(_documents(spark, sf_dir), F.col("doc_id") % 20 == 0, k=10)
+    return out.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
+
+
 def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprints.compare_with_next(_documents(spark, sf_dir))
     return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -70,7 +87,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_join": neardups_query,
         "op5_packing": packing_query,
         "op6_substrings": substrings_query,
+        "op7_licenses": licenses_query,
         "op8_fingerprints": fingerprints_query,
+        "op9_search": search_query,
         "op10_scoring": scoring_query,
     }
 

@@ -13,7 +13,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,11 @@ def identity(docs: DataFrame) -> DataFrame:
     )
 
 
+def word_count(text: Column) -> Column:
+    """Words of a text (null: none), by the definition in words.py."""
+    return F.coalesce(F.size(F.filter(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != "")), F.lit(0))
+
+
 def sizes(docs: DataFrame) -> tuple[int, int]:
     """Rows and bytes of text, two numbers."""
     r = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
