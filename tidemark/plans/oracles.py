@@ -1,5 +1,9 @@
 """The SQL of the registered queries."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from . import registry
+
+
+def oracle_sql() -> dict[str, str]:
+    return registry.sql()
