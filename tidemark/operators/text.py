@@ -26,7 +26,7 @@ def keyword_dim(companies: DataFrame, static: tuple[tuple[str, str], ...] = ())
     Of a keyword that several companies have, the last by ticker_id counts.
     """
     words = F.explode(F.array_compact(F.concat(F.array("company_name"), F.coalesce(F.split("related_words", ","), F.array().cast("array<string>")))))
-    own = companies.select("ticker_id", "ticker", F.lower(F.trim(words)).alias("keyword"))
+    own = companies.select("ticker_id", "ticker", words.alias("word")).select("ticker_id", "ticker", F.lower(F.trim("word")).alias("keyword"))
     if static:
         own = own.unionByName(companies.sparkSession.createDataFrame([(-1, t, k.strip().lower()) for t, k in static], "ticker_id int, ticker string, keyword string"))
     return own.filter(F.length("keyword") > 1).groupBy("keyword").agg(F.max_by("ticker", "ticker_id").alias("ticker"))

@@ -16,29 +16,34 @@ def _r(c, alias=None, n=6):
     return F.round(c, n).alias(alias or c)
 
 
+def _half_up(c, n):
+    """Means of prices often end in a 5, which the last bit would round either way; a nudge settles it in Spark and SQL alike."""
+    return F.round(F.col(c) + 1e-9, n).alias(c)
+
+
 def _trailing_sql() -> str:
     cols = []
     for name, s in _WINDOWS.items():
         over = f"OVER (PARTITION BY ticker, isoyear(ts), week(ts) ORDER BY ts RANGE BETWEEN INTERVAL {s} SECOND PRECEDING AND CURRENT ROW)"
-        cols.append(f"round(avg(price) {over}, 6) AS price_mean_{name}, round(coalesce(stddev_pop(price) {over}, 0), 4) AS price_std_{name}, coalesce(sum(size) {over}, 0) AS size_tot_{name}")
+        cols.append(f"round(avg(price) {over} + 1e-9, 6) AS price_mean_{name}, round(coalesce(stddev_pop(price) {over}, 0), 4) AS price_std_{name}, coalesce(sum(size) {over}, 0) AS size_tot_{name}")
     return f"WITH {fx.TRADES} SELECT event_id, ticker, {', '.join(cols)} FROM trades"
 
 
 @query("trailing_features", _trailing_sql())
 def trailing(spark, d):
     out = features.trailing_features(fx.trades(spark, d), _WINDOWS)
-    return out.select("event_id", "ticker", *[x for n in _WINDOWS for x in (_r(f"price_mean_{n}"), _r(f"price_std_{n}", n=4), F.col(f"size_tot_{n}"))])
+    return out.select("event_id", "ticker", *[x for n in _WINDOWS for x in (_half_up(f"price_mean_{n}", 6), _r(f"price_std_{n}", n=4), F.col(f"size_tot_{n}"))])
 
 
 @query("grid_features_ffill", f"""WITH {fx.TRADES}, span AS (SELECT ticker, simulated, floor(epoch_us(min(ts)) / 600000000) AS lo, floor(epoch_us(max(ts)) / 600000000) AS hi FROM trades GROUP BY 1, 2),
 grid AS (SELECT ticker, simulated, unnest(generate_series(CAST(lo + 1 AS BIGINT), CAST(hi + 1 AS BIGINT))) AS cell FROM span),
 part AS (SELECT g.ticker, g.simulated, g.cell, avg(price) FILTER (WHERE epoch_us(ts) >= (g.cell * 600 - 1800) * 1000000) AS m30, coalesce(sum(size) FILTER (WHERE epoch_us(ts) >= (g.cell * 600 - 1800) * 1000000), 0) AS v30, avg(price) AS m5h, coalesce(sum(size), 0) AS v5h
  FROM grid g LEFT JOIN trades t ON t.ticker = g.ticker AND t.simulated = g.simulated AND epoch_us(ts) < g.cell * 600000000 AND epoch_us(ts) >= (g.cell * 600 - 18000) * 1000000 GROUP BY 1, 2, 3)
-SELECT ticker, simulated, cell * 600 AS at, round(last_value(m30 IGNORE NULLS) OVER w, 4) AS price_mean_30min, round(last_value(m5h IGNORE NULLS) OVER w, 4) AS price_mean_5h, v30 AS size_tot_30min, v5h AS size_tot_5h FROM part
+SELECT ticker, simulated, cell * 600 AS at, round(last_value(m30 IGNORE NULLS) OVER w + 1e-9, 4) AS price_mean_30min, round(last_value(m5h IGNORE NULLS) OVER w + 1e-9, 4) AS price_mean_5h, v30 AS size_tot_30min, v5h AS size_tot_5h FROM part
 WINDOW w AS (PARTITION BY ticker, simulated ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def grid(spark, d):
     out = features.grid_features(fx.trades(spark, d), 600, {"30min": 1800, "5h": 18000})
-    return out.select("ticker", "simulated", F.unix_seconds("ts").alias("at"), _r("price_mean_30min", n=4), _r("price_mean_5h", n=4), "size_tot_30min", "size_tot_5h")
+    return out.select("ticker", "simulated", F.unix_seconds("ts").alias("at"), _half_up("price_mean_30min", 4), _half_up("price_mean_5h", 4), "size_tot_30min", "size_tot_5h")
 
 
 _NY = "(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York')"

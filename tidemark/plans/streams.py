@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.times import micros
 from ..streaming import jobs
 from . import fixtures as fx
+from .market import _SPIKES
 from .registry import query
 from .stores import _root
 
@@ -14,10 +15,13 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 
 
 def _stream(spark, d, name):
-    """A table as a stream of its Parquet files."""
+    """A table as a stream of its Parquet files: a folder of them, or one file beside other tables'."""
     path = f"{d}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+    reader = spark.readStream.schema(schema)
+    return reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 def _run(df, mode="append"):
@@ -35,18 +39,24 @@ def distinct(spark, d):
     return _run(jobs.distinct_records(events, ["event_id"], "60 days").select("event_id"))
 
 
-@query("stream_sliding")
+#: What the watermark has closed at the end: windows that end 10 minutes before the newest row, or earlier.
+_CLOSED = "(SELECT epoch_ms(max(ts)) - 600000 FROM trades)"
+
+
+@query("stream_sliding", f"""WITH {fx.TRADES}, w AS (SELECT *, unnest([1, 2, 3]) AS k FROM trades), e AS (SELECT *, CAST((floor(epoch_us(ts) / 600000000) + k) * 600000 AS BIGINT) AS ms FROM w)
+SELECT ticker, ms * 1000 AS at_us, round(avg(price) + 1e-9, 4) AS price_mean, sum(size) AS size_tot, count(*) AS n FROM e WHERE ms <= {_CLOSED} GROUP BY ticker, ms""")
 def sliding(spark, d):
     trades = fx.trades_of(_stream(spark, d, "events"))
-    return _run(jobs.sliding_features(trades, "30 minutes", "10 minutes")).select("ticker", micros("at").alias("at_us"), F.round("price_mean", 4).alias("price_mean"), "size_tot", "n")
+    return _run(jobs.sliding_features(trades, "30 minutes", "10 minutes")).select("ticker", micros("at").alias("at_us"), F.round(F.col("price_mean") + 1e-9, 4).alias("price_mean"), "size_tot", "n")
 
 
-@query("stream_partials")
+@query("stream_partials", f"""WITH {fx.TRADES}, e AS (SELECT *, CAST(floor(epoch_us(ts) / 600000000) * 600000 AS BIGINT) AS ms FROM trades)
+SELECT ticker, ms * 1000 AS at_us, count(price) AS n, round(sum(price), 4) AS x, round(sum(price * price), 4) AS xx, sum(size) AS v FROM e WHERE ms + 600000 <= {_CLOSED} GROUP BY ticker, ms""")
 def partials(spark, d):
-    return _run(jobs.partial_sums(fx.trades_of(_stream(spark, d, "events")), "10 minutes")).select("ticker", micros("at").alias("at_us"), "n", F.round("x", 4).alias("x"), F.round("xx", 2).alias("xx"), "v")
+    return _run(jobs.partial_sums(fx.trades_of(_stream(spark, d, "events")), "10 minutes")).select("ticker", micros("at").alias("at_us"), "n", F.round("x", 4).alias("x"), F.round("xx", 4).alias("xx"), "v")
 
 
-@query("stream_spikes")
+@query("stream_spikes", f"WITH {fx.TRADES}, {_SPIKES} SELECT ticker, CAST(start AS BIGINT) AS window_start, lo AS min_price, hi AS max_price, round(price_difference, 6) AS price_difference FROM spikes WHERE (start + 7200) * 1000 <= {_CLOSED}")
 def spikes(spark, d):
     out = _run(jobs.spikes(fx.trades_of(_stream(spark, d, "events")), 20.0, "2 hours"))
     return out.select("ticker", F.unix_seconds("window_start").alias("window_start"), "min_price", "max_price", F.round("price_difference", 6).alias("price_difference"))
@@ -58,7 +68,7 @@ def labels(spark, d):
     return _run(jobs.labelled(a.select("event_id", "ticker", "ts"), b)).select("event_id", "y1")
 
 
-@query("stream_first_in_minute")
+@query("stream_first_in_minute", f"WITH {fx.TRADES} SELECT DISTINCT ticker, epoch_us(date_trunc('minute', ts)) AS minute_us FROM trades")
 def first_minute(spark, d):
     return _run(jobs.first_in_minute(fx.trades_of(_stream(spark, d, "events"))).select("ticker", micros("minute").alias("minute_us")))
 

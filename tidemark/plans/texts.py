@@ -50,12 +50,12 @@ def ticker_tags(spark, d):
 
 
 def _count(words):
-    return f"len(list_filter(w, x -> x IN ({', '.join(repr(x) for x in words)})))"
+    return f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in words)})))"
 
 
 # up = u + 1, down = n + 1, flat = words - up - down + 3, total = words + 3
 _SCORED = rf"""scored AS (SELECT id, ts, social, source, CASE WHEN blank THEN 0.0 ELSE round(CAST((up - down) / total * (1 - (total - up - down) / total) * 0.1 AS DOUBLE), 4) END AS score FROM
- (SELECT id, ts, social, source, trim(coalesce(text, '')) = '' AS blank, CAST({_count(text.POSITIVE)} + 1 AS DOUBLE) AS up, CAST({_count(text.NEGATIVE)} + 1 AS DOUBLE) AS down, CAST(len(list_filter(w, x -> x != '')) + 3 AS DOUBLE) AS total
+ (SELECT id, ts, social, source, trim(coalesce(text, '')) = '' AS blank, CAST({_count(text.POSITIVE)} + 1 AS DOUBLE) AS up, CAST({_count(text.NEGATIVE)} + 1 AS DOUBLE) AS down, CAST(len(list_filter(w, lambda x: x != '')) + 3 AS DOUBLE) AS total
  FROM (SELECT *, regexp_split_to_array(lower(text), '[^\p{{L}}]+') AS w FROM posts)))"""
 
 

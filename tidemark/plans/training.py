@@ -45,7 +45,7 @@ def sequences(spark, d):
     return out.select("event_id", F.col("sequence")[0][0].alias("x0"), F.col("sequence")[4][0].alias("x4"), "label")
 
 
-@query("key_feature_sequence", f"WITH {fx.TRADES}, {_SEQ} SELECT event_id, array_to_string(list_transform(p, x -> CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR)), ',') AS keys FROM s WHERE len(p) = 5 AND label IS NOT NULL AND n >= 6")
+@query("key_feature_sequence", f"WITH {fx.TRADES}, {_SEQ} SELECT event_id, array_to_string(list_transform(p, lambda x: CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR)), ',') AS keys FROM s WHERE len(p) = 5 AND label IS NOT NULL AND n >= 6")
 def key_sequence(spark, d):
     out = training.training_sequences(fx.trades(spark, d), ["size", "price"], "price", "ts")
     return out.select("event_id", F.array_join(F.transform(training.key_feature_sequence(F.col("sequence"), 1), lambda x: F.round(x * 100).cast("long").cast("string")), ",").alias("keys"))
