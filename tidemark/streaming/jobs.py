@@ -70,6 +70,15 @@ def routed(routes: dict[str, tuple[Column, Callable[[DataFrame], None]]]) -> Cal
     return write
 
 
+def _frame(rows: list[tuple], columns: list[str]):
+    """Rows for the JVM; text as plain objects."""
+    import pandas as pd
+
+    made = pd.DataFrame(rows, columns=columns)
+    made[columns[0]] = made[columns[0]].astype(object)
+    return made
+
+
 class GridMeans(StatefulProcessor):
     """A ticker's mean at every grid instant from its first trade on: of the cell before it, carried over quiet cells.
 
@@ -85,8 +94,6 @@ class GridMeans(StatefulProcessor):
         self.last = handle.getValueState("last", "mean double, upto long, seen long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
         for part in rows:
             cells = (part["us"] // (self.step * 1_000_000)).astype("int64")
             for cell, price in zip(cells, part["price"]):
@@ -100,15 +107,13 @@ class GridMeans(StatefulProcessor):
             else:
                 self.last.update((float("nan"), low, high))
             self._wake()
-        yield pd.DataFrame({"ticker": [], "at": [], "mean": []})
+        return iter(())
 
     def _wake(self) -> None:
         _, upto, _ = self.last.get()
         self.handle.registerTimer((upto + 1) * self.step * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        import pandas as pd
-
         if not self.last.exists():
             return
         mark = timerValues.getCurrentWatermarkInMs() // (self.step * 1000)
@@ -126,7 +131,7 @@ class GridMeans(StatefulProcessor):
         if (upto - seen) * self.step < self.idle:
             self._wake()
         if out:
-            yield pd.DataFrame(out, columns=["ticker", "at", "mean"])
+            yield _frame(out, ["ticker", "at", "mean"])
 
     def close(self) -> None:
         pass
@@ -153,7 +158,7 @@ class Changes(StatefulProcessor):
             if not self.last.exists() or self.last.get()[0] != value:
                 self.last.update((float(value),))
                 out.append((key[0], ts, float(value)))
-        yield pd.DataFrame(out, columns=["series", "ts", "value"])
+        yield _frame(out, ["series", "ts", "value"])
 
     def close(self) -> None:
         pass
