@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import identity, ship
+from .shared import identity, only, ship
 
 SAMPLE_DOCS, SAMPLE_WORDS = 500, 6000
 _LETTERS = re.compile(r"[^\W\d_]+")
-_KEPT = 500_000
+_KEPT = 300_000
 
 
 class SuffixAutomaton:
@@ -112,9 +112,6 @@ class Parser:
         return self.langs[best], float(rest.min() / (entropy[best] + rest.min())) if len(rest) else 1.0
 
 
-_parsers: dict[int, Parser] = {}
-
-
 def references(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> dict[str, str]:
     """A reference text for each language of labelled documents (doc_id, text, lang), from the bounded sample."""
     known = labelled.filter("lang is not null and text is not null")
@@ -145,10 +142,7 @@ def identify(docs: DataFrame, references: dict[str, str]) -> DataFrame:
     key = hash(tuple(sorted(references.items())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _parsers:
-            _parsers.clear()
-            _parsers[key] = Parser(held.value)
-        parser = _parsers[key]
+        parser = only(("parser", key), lambda: Parser(held.value))
         for batch in batches:
             said = [parser.predict((t or b"").decode()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(

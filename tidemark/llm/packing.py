@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, identity, ship, written
+from .shared import by_bytes, identity, only, ship, written
 from .words import span_hashes
 
 CAPACITY, SALTS, NODES = 2048, 64, 400
-_KEPT = 700_000
+_KEPT = 500_000
 _SPACE, _SMALL, _STOP = np.zeros((3, 256), bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SMALL[list(b"abcdefghijklmnopqrstuvwxyz")] = True
@@ -109,21 +109,17 @@ class WordIds:
         self.known.update((s, self.whole(t)) for s, t in zip(spans, texts) if not t.isalpha())
 
 
-_encoders: dict[str, WordIds] = {}
-
-
 def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit)."""
     ship(docs.sparkSession)
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = WordIds(tokenizer)
+        encoder = only(("words", tokenizer), lambda: WordIds(tokenizer))
         for batch in batches:
             for part in by_bytes(batch):
                 out: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), _encoders[tokenizer].encode(part.column(1).to_pylist())):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
                     ids += b"\0\0\0\0"
                     for k, first in enumerate(range(0, len(ids) // 4, capacity)):
                         own = ids[4 * first : 4 * (first + capacity)]

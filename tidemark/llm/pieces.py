@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import by_bytes, identity, ship
+from .shared import by_bytes, identity, only, ship
 
 MARK = "▁"
 #: Parts and pairs that a task keeps at most; beyond that it starts anew.
@@ -178,13 +178,8 @@ class _Parts(dict):
         return made
 
 
-_models: dict[str, PieceModel] = {}
-
-
 def model(path: str) -> PieceModel:
-    if path not in _models:
-        _models[path] = PieceModel(path)
-    return _models[path]
+    return only(("pieces", path), lambda: PieceModel(path))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -34,6 +34,17 @@ def ship(spark: SparkSession) -> None:
     sc._tidemark_shipped = True
 
 
+_model: dict[tuple, object] = {}
+
+
+def only(key: tuple, make: Callable[[], object]):
+    """A worker's one large model, with what it has cached: another one's makes way, so workers that many jobs use stay bounded."""
+    if key not in _model:
+        _model.clear()
+        _model[key] = make()
+    return _model[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or where that is unset one of our own (for tests)."""
     held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)

@@ -12,7 +12,7 @@ import numpy as np
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -27,7 +27,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             steps[0] = 1
             made.append(np.cumprod(steps, dtype=np.uint64))
         held = (made[0], made[1])
-        if n <= 1 << 22:
+        if n <= 1 << 21:
             _tables[base] = held
     return held
 
