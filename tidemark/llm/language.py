@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import identity, only, ship
+from .shared import by_bytes, identity, only, ship, trimmed
 
 SAMPLE_DOCS, SAMPLE_WORDS = 500, 6000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -143,7 +143,7 @@ def identify(docs: DataFrame, references: dict[str, str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = only(("parser", key), lambda: Parser(held.value))
-        for batch in batches:
+        for batch in (part for whole in trimmed(batches) for part in by_bytes(whole)):
             said = [parser.predict((t or b"").decode()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())],

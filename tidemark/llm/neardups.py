@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import by_bytes, identity, ship, written
+from .shared import by_bytes, identity, ship, trim, trimmed, written
 from .words import mix, sequence_hashes, word_hashes
 
 SHINGLE, THRESHOLD, RECALL, PERMUTATIONS = 5, 0.8, 0.998, 128
@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     base = identity(docs).select("doc_id", "text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in trimmed(batches):
             for batch in by_bytes(whole):
                 counts, words = word_hashes(batch.column(1).to_pylist(), 2)
                 value, doc, _ = sequence_hashes(words[0], counts, SHINGLE, short=True)
@@ -168,6 +168,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
             n = np.bincount(i, minlength=b - a) + np.bincount(j, minlength=b - a)
             tied = _least_tied(b - a, i, j)
             out += [(int(doc[a + k]), int(doc[a + tied[k]]), int(n[k])) for k in np.flatnonzero(n)]
+        trim()
         return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["doc_id", "tied", "n_links"])
 
     found = written(dealt.join(texts, "doc_id").groupBy("task", "low", "high").applyInArrow(verify, "doc_id long, tied long, n_links long"), "links")

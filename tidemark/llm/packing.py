@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, identity, only, ship, written
+from .shared import by_bytes, identity, only, ship, trimmed, written
 from .words import span_hashes
 
 CAPACITY, SALTS, NODES = 2048, 64, 400
@@ -116,7 +116,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = only(("words", tokenizer), lambda: WordIds(tokenizer))
-        for batch in batches:
+        for batch in trimmed(batches):
             for part in by_bytes(batch):
                 out: list[tuple] = []
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import os
 import tempfile
@@ -41,10 +43,27 @@ def only(key: tuple, make: Callable[[], object]):
     """A worker's one large model, with what it has cached: another one's makes way, so workers that many jobs use stay bounded."""
     if key not in _model:
         _model.clear()
+        trim()
         _model[key] = make()
     return _model[key]
 
 
+def trim() -> None:
+    """Give memory that a task has freed back to the machine; the allocators of C, Python and Arrow keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, and a trim at their end."""
+    yield from batches
+    trim()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or where that is unset one of our own (for tests)."""
     held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
