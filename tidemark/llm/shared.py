@@ -58,6 +58,12 @@ def trim() -> None:
         pass
 
 
+def release() -> None:
+    """Before work on large arrays: another operator's model makes way too."""
+    _model.clear()
+    trim()
+
+
 def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches, and a trim at their end."""
     yield from batches

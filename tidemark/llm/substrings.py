@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bits_for, block_count, bucket_slices, identity, ship, sizes, trim, written
+from .shared import bits_for, block_count, bucket_slices, identity, release, ship, sizes, written
 from .words import sequence_hashes, word_hashes
 
 WIDTH, GRAM, DEPTH, BLOCK_BYTES = 20, 8, 2, 6 << 20
@@ -100,6 +100,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, depth:
 
     def sketch(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
+        release()
         places = _Windows(_ordered(table)[2], width, gram, False).places
         out = []
         for row, cells in enumerate(_cells(places, depth, bits)):
@@ -123,7 +124,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, depth:
         if not docs_.num_rows:
             return _table([])
         block = docs_.column("block")[0].as_py()
-        trim()
+        release()
         table, doc, texts = _ordered(docs_)
         w = _Windows(texts, width, gram, True)
         chosen = _estimated(w, heard)
@@ -176,7 +177,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, depth:
         out_schema = pa.schema([docs_.schema.field(c) for c in ("doc_id", "text", "rest")] + [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
         if not docs_.num_rows:
             return out_schema.empty_table()
-        trim()
+        release()
         table, doc, texts = _ordered(docs_)
         w = _Windows(texts, width, gram, True)
         kinds = heard.column("kind").to_numpy()
