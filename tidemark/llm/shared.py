@@ -64,6 +64,14 @@ def release() -> None:
     trim()
 
 
+def tidily(work: Callable, *given):
+    """work(*given) with no other operator's model held, and what it has freed given back at its end."""
+    release()
+    done = work(*given)
+    trim()
+    return done
+
+
 def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches, and a trim at their end."""
     yield from batches

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bits_for, block_count, bucket_slices, identity, release, ship, sizes, written
+from .shared import bits_for, block_count, bucket_slices, identity, ship, sizes, tidily, written
 from .words import sequence_hashes, word_hashes
 
 WIDTH, GRAM, DEPTH, BLOCK_BYTES = 20, 8, 2, 6 << 20
@@ -60,24 +60,26 @@ class _Windows:
         self.counts = counts
         ends = np.cumsum(counts)
         n = int(ends[-1]) if len(ends) else 0
-        doc = np.repeat(np.arange(len(texts)), counts)
-        at = np.arange(n)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
         grams = np.full(n, np.iinfo(np.uint64).max, np.uint64)
         value, of, pos = sequence_hashes(hashes[0], counts, gram, seed=1)
         grams[(ends - counts)[of] + pos] = value
+        del value, of, pos
         low = _sliding(grams, width - gram + 1, np.minimum)
-        valid = np.flatnonzero(at[: len(low)] + width <= ends[doc[: len(low)]]) if n else at
-        self.low = low[valid]
-        self.start, self.doc = at[valid], doc[valid]
+        # A window starts where its last word is in the same text.
+        self.start = np.flatnonzero(doc[: n - width + 1] == doc[width - 1 :]) if n >= width else np.zeros(0, np.int64)
+        self.low, self.doc = low[self.start], doc[self.start]
+        del low, doc
         # A place stands for some window if its hash is the greatest least value among the windows over it.
         most = np.zeros(n + width, np.uint64)
         most[self.start + width - gram] = self.low
         top = _sliding(most, width - gram + 1, np.maximum)[:n]
+        del most
         self.places = grams[(grams == top) & (grams != np.iinfo(np.uint64).max)]
+        del grams, top
         if exact:
-            self.hash, _, _ = sequence_hashes(hashes[0], counts, width)
-            second, _, _ = sequence_hashes(hashes[1], counts, width, seed=1)
-            self.check = (second >> np.uint64(32)).astype(np.uint32)
+            self.hash = sequence_hashes(hashes[0], counts, width)[0]
+            self.check = (sequence_hashes(hashes[1], counts, width, seed=1)[0] >> np.uint64(32)).astype(np.uint32)
 
 
 def _cells(hashes: np.ndarray, depth: int, bits: int) -> list[np.ndarray]:
@@ -100,7 +102,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, depth:
 
     def sketch(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        release()
         places = _Windows(_ordered(table)[2], width, gram, False).places
         out = []
         for row, cells in enumerate(_cells(places, depth, bits)):
@@ -124,7 +125,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, depth:
         if not docs_.num_rows:
             return _table([])
         block = docs_.column("block")[0].as_py()
-        release()
         table, doc, texts = _ordered(docs_)
         w = _Windows(texts, width, gram, True)
         chosen = _estimated(w, heard)
@@ -166,10 +166,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, depth:
         return _table(_replies(block, bucket, lengths, first))
 
     schema = "block int, bucket int, data binary"
-    sketches = bare.groupBy("block").applyInArrow(sketch, schema)
-    merged = written(sketches.groupBy("bucket").applyInArrow(merge, schema), "sketch")
-    asked = bare.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(ask, schema)
-    grouped = written(asked.groupBy("bucket").applyInArrow(group, schema), "windows")
+    sketches = bare.groupBy("block").applyInArrow(lambda t: tidily(sketch, t), schema)
+    merged = written(sketches.groupBy("bucket").applyInArrow(lambda t: tidily(merge, t), schema), "sketch")
+    asked = bare.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(lambda a, b: tidily(ask, a, b), schema)
+    grouped = written(asked.groupBy("bucket").applyInArrow(lambda t: tidily(group, t), schema), "windows")
     heard = merged.withColumn("kind", F.lit(0)).unionByName(grouped.withColumn("kind", F.lit(1)))
     kind = rows.schema["rest"].dataType.simpleString()
 
@@ -177,7 +177,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, depth:
         out_schema = pa.schema([docs_.schema.field(c) for c in ("doc_id", "text", "rest")] + [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
         if not docs_.num_rows:
             return out_schema.empty_table()
-        release()
         table, doc, texts = _ordered(docs_)
         w = _Windows(texts, width, gram, True)
         kinds = heard.column("kind").to_numpy()
@@ -201,7 +200,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, depth:
             kept.append(b" ".join(compress(text.split(), own.tolist()) if gone_here else text.split()))
         return pa.table([table.column("doc_id"), table.column("text"), table.column("rest"), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], schema=out_schema)
 
-    done = rows.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(finish, f"doc_id long, text binary, rest {kind}, n_words long, n_removed long, kept binary")
+    done = rows.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(lambda a, b: tidily(finish, a, b), f"doc_id long, text binary, rest {kind}, n_words long, n_removed long, kept binary")
     return done.withColumn("text", F.col("text").cast("string")).withColumn("kept", F.col("kept").cast("string"))
 
 

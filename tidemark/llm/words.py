@@ -12,7 +12,8 @@ import numpy as np
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
+_KEPT = 1 << 19
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -27,7 +28,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             steps[0] = 1
             made.append(np.cumprod(steps, dtype=np.uint64))
         held = (made[0], made[1])
-        if n <= 1 << 21:
+        if n <= _KEPT:
             _tables[base] = held
     return held
 
@@ -87,7 +88,23 @@ def sequence_hashes(words: np.ndarray, counts: np.ndarray, width: int, short: bo
     """Hash, text and word position of each run of `width` words in each text.
 
     A text with fewer words gives nothing, or with `short` one run of all its words (none if it has no word).
+    Texts are taken about `_CHUNK` words at a time, so what is held besides the result stays small.
     """
+    ends = np.cumsum(counts)
+    values, docs, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    at = 0
+    while at < len(counts):
+        begin = int(ends[at] - counts[at])
+        upto = max(at + 1, int(np.searchsorted(ends, begin + _CHUNK, "right")))
+        value, doc, place = _runs(words[begin : ends[upto - 1]], counts[at:upto], width, short, seed)
+        values.append(value)
+        docs.append((doc + at).astype(np.int32))
+        places.append(place.astype(np.int32))
+        at = upto
+    return np.concatenate(values), np.concatenate(docs), np.concatenate(places)
+
+
+def _runs(words: np.ndarray, counts: np.ndarray, width: int, short: bool, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(words)
     ends = np.cumsum(counts)
     firsts = ends - counts
