@@ -26,7 +26,7 @@ from .shared import by_bytes, identity, only, ship, trimmed, written
 from .words import span_hashes
 
 CAPACITY, SALTS, NODES = 2048, 64, 400
-_KEPT = 500_000
+_KEPT = 300_000
 _SPACE, _SMALL, _STOP = np.zeros((3, 256), bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SMALL[list(b"abcdefghijklmnopqrstuvwxyz")] = True
@@ -47,8 +47,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None  # it leaves small ASCII letters as they are
+        self.normalizer = self.tokenizer.normalizer
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -96,10 +95,12 @@ class WordIds:
         # Spans of letters alone are one pre-token each, so in a text of many of them each ends where a token ends a word.
         small = [(s, t) for s, t in zip(spans, texts) if t.isascii() and t.isalpha()]
         other = [(s, t) for s, t in zip(spans, texts) if not t.isascii() and t.isalpha()]
-        for part, library in ((small, self.plain), (other, self.tokenizer)):
+        # The normaliser leaves small ASCII letters as they are, so these go without it.
+        for part, normalizer in ((small, None), (other, self.normalizer)):
+            self.tokenizer.normalizer = normalizer
             for at in range(0, len(part), 1024):
                 some = part[at : at + 1024]
-                ids = np.array(library.encode_batch_fast([" ".join([t for _, t in some])], add_special_tokens=False)[0].ids, "<u4")
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in some])], add_special_tokens=False)[0].ids, "<u4")
                 data = ids.tobytes()
                 cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
                 if len(cuts) != len(some) + 1:  # a letter that folds to one and a mark
