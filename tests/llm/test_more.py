@@ -3,6 +3,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,27 @@ def test_search_equals_brute_force(docs, shard_bytes, terms):  # noqa: F811
     assert seen >= (len(want) if terms > 100 else 1)
 
 
+def test_registered_search_uses_the_whole_text(spark, docs, small):  # noqa: F811
+    want = brute_search(rows_of(docs), most=10_000)
+    got = defaultdict(list)
+    for r in sorted(rows_of(queries.search_query(spark, small)), key=lambda r: r["rank"]):
+        got[r["query_id"]].append(r["score"])
+    assert {q: [round(s, 6) for s in x] for q, x in got.items()} == {q: [round(s, 6) for _, s in best] for q, best in want.items() if best}
+
+
+def test_long_and_short_searches_agree():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(1, 60)) % 500).encode() for _ in range(700)]
+    texts += texts[:20]
+    index = search.Index(np.arange(len(texts)), texts, 30.0)
+    df = np.diff(index.firsts)
+    for text in texts[::15] + [b" ".join(texts[:5])]:
+        own = index.find(np.unique(search.terms([text])[1]))
+        weights = search.idf(len(texts), df[own])
+        for k in (1, 10, 1000):
+            assert index.search_long(own, weights, k) == index.search(list(zip(own.tolist(), weights.tolist())), k)
+
+
 def test_search_of_edge_rows(edge, none):  # noqa: F811
     got = rows_of(search.top_k(edge, F.col("doc_id") == 5, k=4))
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"])][:2] == [5, 5]
