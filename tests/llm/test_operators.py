@@ -416,3 +416,18 @@ def test_filter_keeps_counts_and_its_bound(docs):
     assert (got >= lev).all() and (got == lev).mean() > 0.9
     rows = rows_of(scoring.score_documents(docs, F.lit(True), max_filter_bytes=512))
     assert all(r["score"] <= 0 for r in rows)
+
+
+def test_no_ngram_is_left_out(spark):
+    """A bigram that occurs once scores above an unseen one, and slices of any size hold all n-grams."""
+    rows = [(i, f"a{i} b{i} c{i} d{i}", True) for i in range(300)] + [(1000, "a7 b7", False), (1001, "a7 b8", False)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    for most in (1 << 20, 64, 1):
+        got = {r["doc_id"]: r["score"] for r in rows_of(scoring.score_documents(table, F.col("train"), block_bytes=1000, max_filter_bytes=most))}
+        assert got[1000] > got[1001] + 1
+        assert min(got[i] for i in range(300)) > got[1001] + 1
+    keys = np.sort(scoring.mix(np.arange(1, 5001, dtype=np.uint64)))
+    counts = np.arange(5000) % 4
+    for most in (1 << 20, 100):
+        lev = scoring.filtered(keys, counts, scoring.BIGRAM, most)
+        assert (lev[counts > 0] >= scoring.level(counts[counts > 0])).all() and (lev[counts == 0] > 0).mean() < 0.05

@@ -1,11 +1,11 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Tokens are the words of a text with A-Z lower-cased, then one end. Documents are dealt into blocks of bounded size by a
-hash of doc_id; each block sends its distinct tokens and training bigrams, with counts, to hash ranges, which sum them over
-all blocks and answer each block with the counts of its tokens. N-grams of two training occurrences or more are
-quantised (level 1 + floor(log_1.5 count)) and put into a Bloom filter once for each level up to theirs. The filter is
-broadcast: `max_filter_bytes` bounds it, and where the corpus holds more n-grams than that bound takes at 8 bits an entry, the least
-frequent levels stay out (they then back off), which a histogram of levels over all n-grams decides.
+hash of doc_id; each block sends its distinct tokens and bigrams, with training counts (0: of held-out texts only), to hash ranges, which sum
+them over all blocks. All n-grams of a training text, those that occur once too, are quantised (level 1 + floor(log_1.5 count)) and put into a
+Bloom filter once for each level up to theirs. A range holds the filter of its own n-grams only, sized by their entries, in slices of at most
+`max_filter_bytes` that are filled and probed one after another; it answers each block with the counts of its tokens and the levels of its tokens and
+bigrams. So no n-gram is left out at any size, and nothing is broadcast or gathered.
 
 A token's probability mixes the add-one unigram probability with the bigram's relative frequency, both counts read
 off the filter by probing levels until one is missing. The bigram's weight depends on the history only: HIT if the
@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 from .shared import bits_for, block_count, bucket_slices, identity, ship, sizes, written
 from .words import mix, word_hashes
 
-BLOCK_BYTES, MAX_FILTER_BYTES = 6 << 20, 64 << 20
-BASE, PROBES, BITS_AN_ENTRY, HIT, MISS = 1.5, 3, 8, 0.9, 0.02
-#: The level of two occurrences.
-LEAST = 2
+#: The second bounds a slice of the filter that is in memory at a time, not the filter.
+BLOCK_BYTES, MAX_FILTER_BYTES = 6 << 20, 4 << 20
+BASE, PROBES, BITS_AN_ENTRY, HIT, MISS = 1.5, 3, 16, 0.9, 0.02
 END = np.uint64(0x5DEECE66D1234567)
 UNIGRAM, BIGRAM = 0, 1
 
@@ -83,6 +82,7 @@ class _Tokens:
         self.all[word] = hashes[0]
         self.before = np.concatenate([[END], self.all[:-1]])
         self.keys, self.which = np.unique(self.all, return_inverse=True)
+        self.which_before = np.concatenate([self.which[-1:], self.which[:-1]])  # the last token is an end
 
     def bigrams(self, buckets: int) -> np.ndarray:
         """Hashes of 40 bits beyond those that choose the range."""
@@ -105,7 +105,8 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYT
         tokens = _Tokens(table.column("text").to_pylist())
         learn = np.repeat(table.column("train").combine_chunks().to_numpy(zero_copy_only=False), tokens.counts)
         counts = np.bincount(tokens.which[learn], minlength=len(tokens.keys)).astype("<u4")
-        pair, many = np.unique(tokens.bigrams(buckets)[learn], return_counts=True)
+        pair, which = np.unique(tokens.bigrams(buckets), return_inverse=True)
+        many = np.bincount(which[learn], minlength=len(pair))
         short = ((pair << np.uint64(buckets)) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         out = []
         for kind, key, data, n in ((UNIGRAM, tokens.keys, tokens.keys.astype("<u8").view(np.uint8).reshape(-1, 8), counts), (BIGRAM, pair, short, many.astype("<u4"))):
@@ -126,37 +127,32 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYT
             key = (key << np.uint64(24)) >> np.uint64(buckets) | (np.uint64(bucket) << np.uint64(64 - buckets) if buckets else np.uint64(0))
         keys, which = np.unique(key, return_inverse=True)
         total = np.bincount(which, weights=own).astype(np.int64)
-        kept = total >= 2
-        out = [(-1, kind, bucket, keys[kept].astype("<u8").tobytes() + total[kept].astype("<i8").tobytes(), int(total.sum()), int((total > 0).sum()))]
-        if kind == UNIGRAM:
-            each, at = total[which].astype("<i8"), 0
-            for b, n in zip(block, lengths):
-                out.append((b, kind, bucket, each[at : at + n].tobytes(), n, 0))
-                at += n
+        out = [(-1, kind, bucket, b"", int(total.sum()), int((total > 0).sum()))]
+        lev, each, at = filtered(keys, total, kind, max_filter_bytes).astype(np.uint8)[which], total[which].astype("<i8"), 0
+        for b, n in zip(block, lengths):
+            counted = each[at : at + n].tobytes() if kind == UNIGRAM else b""
+            out.append((b, kind, bucket, lev[at : at + n].tobytes() + counted, n, 0))
+            at += n
         return _table(out)
 
     said = written(rows.groupBy("block").applyInArrow(ask, _SCHEMA).groupBy("kind", "bucket").applyInArrow(add, _SCHEMA), "counts")
     whole = said.filter((F.col("block") == -1) & (F.col("kind") == UNIGRAM)).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_train, distinct = whole["n"] or 0, whole["v"] or 0
-    width, lowest, bloom = _filter(said.filter("block = -1"), buckets, max_filter_bytes)
-    held = spark.sparkContext.broadcast(bloom)
 
     def finish(table: pa.Table, heard: pa.Table) -> pa.Table:
         tokens = _Tokens(table.column("text").to_pylist())
-        parts = dict(zip(heard.column("bucket").to_pylist(), heard.column("data").to_pylist()))
-        c = np.frombuffer(b"".join(parts[b] for b in sorted(parts)), "<i8")[tokens.which]
+        heard = heard.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        parts: dict[int, list[tuple[bytes, int]]] = {UNIGRAM: [], BIGRAM: []}
+        for kind, data, n in zip(*(heard.column(c).to_pylist() for c in ("kind", "data", "n"))):
+            parts[kind].append((data, n))
+        c = np.frombuffer(b"".join(d[n:] for d, n in parts[UNIGRAM]), "<i8")[tokens.which]
+        owner_level, pair_level = (np.frombuffer(b"".join(d[:n] for d, n in parts[kind]), np.uint8) for kind in (UNIGRAM, BIGRAM))
         base = (c + 1.0) / (n_train + distinct + 1)
-        filter_ = Filter(np.frombuffer(held.value, np.uint8), width, buckets)
-        pair, which = np.unique(tokens.bigrams(buckets), return_inverse=True)
-        pair_level = filter_.levels(pair, BIGRAM)
-        pair_level[pair_level < max(lowest, LEAST)] = 0  # only n-grams of two occurrences are let in
-        pair_level = pair_level[which]
+        pair_level = pair_level[np.unique(tokens.bigrams(buckets), return_inverse=True)[1]]
         hit = pair_level > 0
         near = np.concatenate([[False], hit[:-1]])
         near[np.concatenate([[0], tokens.ends[:-1]])] = False
-        context = np.zeros(len(hit))
-        owner, of = np.unique(tokens.before[hit], return_inverse=True)
-        context[hit] = MIDDLE[filter_.levels(owner, UNIGRAM)][of]
+        context = MIDDLE[owner_level[tokens.which_before]]
         ratio = np.where(context > 0, np.minimum(1.0, MIDDLE[pair_level] / np.maximum(context, 1)), 0.0)
         weight = np.where(near, HIT, MISS)
         firsts = tokens.ends - tokens.counts
@@ -169,7 +165,7 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYT
             names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    heard = said.filter((F.col("block") >= 0) & (F.col("kind") == UNIGRAM))
+    heard = said.filter("block >= 0")
     out = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(finish, out)
 
@@ -182,36 +178,19 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_TYPES)], names=[n for n, _ in _TYPES])
 
 
-def _entries(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 16
-    return np.frombuffer(data[: 8 * n], "<u8"), level(np.frombuffer(data[8 * n :], "<i8"))
-
-
-def _filter(kept: DataFrame, buckets: int, most: int) -> tuple[int, int, bytes]:
-    """Bits in a slice, the lowest level let in, and the bytes of all slices in order."""
-
-    def tally(batches):
-        for batch in batches:
-            for data in batch.column("data").to_pylist():
-                lev, n = np.unique(_entries(data)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(lev, pa.int64()), pa.array(n, pa.int64())], ["level", "n"])
-
-    seen = {r["level"]: r["n"] for r in kept.select("data").mapInArrow(tally, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    lowest, entries = 1, sum(k * n for k, n in seen.items())
-    while entries * BITS_AN_ENTRY > 8 * most:
-        entries -= lowest * seen.get(lowest, 0)
-        lowest += 1
-    width = max(64, -(-entries * BITS_AN_ENTRY // (1 << buckets)) + 7 & ~7)
-
-    def fill(table: pa.Table) -> pa.Table:
+def filtered(keys: np.ndarray, counts: np.ndarray, kind: int, most: int) -> np.ndarray:
+    """The level of each sorted distinct key that a filter of all keys with a count tells; slices of `most` bytes (one key's at least), each of a range of keys."""
+    lev = np.zeros(len(keys), np.int64)
+    lev[counts > 0] = level(counts[counts > 0])
+    part = np.maximum(np.cumsum(lev) - 1, 0) // max(1, 8 * most // BITS_AN_ENTRY)
+    firsts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
+    out = np.zeros(len(keys), np.int64)
+    for a, b in zip(firsts, firsts[1:]):
+        own, up = keys[a:b], lev[a:b]
+        width = max(64, int(up.sum()) * BITS_AN_ENTRY + 7 & ~7)
         bits = np.zeros(width, bool)
-        for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
-            keys, lev = _entries(data)
-            for k in range(1, int(lev.max(initial=0)) + 1):
-                for p in Filter.places(keys[(lev >= k) & (lev >= lowest)], kind, k, width):
-                    bits[p.astype(np.int64)] = True
-        return pa.table([pa.array([table.column("bucket")[0].as_py()], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
-
-    # At most `most` bytes in all (and 8 a slice), since `lowest` was chosen so.
-    slices = {r["bucket"]: bytes(r["bits"]) for r in kept.groupBy("bucket").applyInArrow(fill, "bucket int, bits binary").collect()}
-    return width, lowest, b"".join(slices.get(b, bytes(width // 8)) for b in range(1 << buckets))
+        for k in range(1, int(up.max(initial=0)) + 1):
+            for p in Filter.places(own[up >= k], kind, k, width):
+                bits[p.astype(np.int64)] = True
+        out[a:b] = Filter(np.packbits(bits, bitorder="little"), width, 0).levels(own, kind)
+    return out
