@@ -122,6 +122,17 @@ def test_pieces_of_strange_texts():
         assert own.encode(text) == np.array(lib.encode(text, add_bos=True, add_eos=True), "<u4").tobytes()
 
 
+def test_pieces_of_long_runs_of_characters_that_never_merge():
+    from sentencepiece import SentencePieceProcessor
+
+    lib = SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    own = pieces.model(vocabulary("piece_bpe_32k.model"))
+    han = [chr(c) for c in range(0x4E00, 0x9FFF) if chr(c) in own.known]
+    for text in ("0123456789" * 2000, "".join(han[i * i % len(han)] for i in range(20_000)), "the 7" + "19" * 5000 + "th 中" * 500):
+        assert own.encode(text) == np.array(lib.encode(text, add_bos=True, add_eos=True), "<u4").tobytes()
+        assert own.decode(own.encode(text)) == text
+
+
 @pytest.mark.parametrize("data", [b"\xff", b"\xe3\x81", b"ab\xf0\x9f", b"\xc3\xa9\xc3"])
 def test_decoding_of_broken_bytes(data):
     from sentencepiece import SentencePieceProcessor

@@ -5,7 +5,7 @@ gives the longest piece that starts at each position; pieces are taken from left
 its left neighbour by re-merging the two (a sequence is the encoding exactly if every adjacent pair encodes to
 itself); where no piece fits, the last one is given up, and a bitfield remembers positions that were left so.
 If no piece has the space mark after another character, the marks cut the text into parts that encode alone,
-and a task keeps the parts that it has seen; characters that no piece holds become their UTF-8 bytes.
+a part is cut between all characters that are side by side in no piece, and a task keeps the parts that it has seen; characters that no piece holds become their UTF-8 bytes.
 
 Null and empty texts encode to begin and end alone and decode to the empty text. A text of one unbroken part is
 encoded in time linear in its length.
@@ -166,13 +166,14 @@ class _Parts(dict):
         self.model = model
 
     def __missing__(self, part: str) -> bytes:
-        if len(part) > 1 and part[-2:] not in self.model.neighbours:
-            made = self[part[:-1]] + self[part[-1]]
-            if len(part) <= 64:
-                self[part] = made
-            return made
-        ids = self.model.encode_part(part)
-        made = struct.pack(f"<{len(ids)}I", *ids)
+        near = self.model.neighbours
+        cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in near]
+        if cuts:
+            # What lies between two cuts has none itself, so this is one call deep.
+            made = b"".join([self[part[a:b]] for a, b in zip([0, *cuts], [*cuts, len(part)])])
+        else:
+            ids = self.model.encode_part(part)
+            made = struct.pack(f"<{len(ids)}I", *ids)
         if len(part) <= 64:
             self[part] = made
         return made
