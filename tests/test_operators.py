@@ -183,6 +183,23 @@ def test_context_defaults_and_gate(spark):
     assert len(one(joins.merge_context(f, c, ["cpi", "ffr"], False), "price")) == 2
 
 
+def test_context_of_one_key_is_many_tasks(spark):
+    minute = dt.timedelta(minutes=1)
+    begin = at("2024-01-03T00:00:00")
+    f = spark.createDataFrame([(i, begin + i * 7 * minute) for i in range(800)], "event_id long, ts timestamp")
+    seen = {i: float(i) for i in range(3, 800, 113)}  # hours without context between
+    c = spark.createDataFrame([(begin + i * 7 * minute, x) for i, x in seen.items()], "ts timestamp, cpi double")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled",)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = joins.merge_context(f, c, ["cpi"], False).select("event_id", "cpi", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert {r["event_id"]: r["cpi"] for r in got} == {i: max((x for j, x in seen.items() if j <= i), default=0.0) for i in range(800)}
+    assert len({r["task"] for r in got}) > 1
+
+
 def test_years_shift_only_with_the_trigger(spark):
     rows = [("a", "2025"), ("a", "2024"), ("b", "2024"), ("c", None)]
     df = spark.createDataFrame(rows, "symbol string, calendarYear string")

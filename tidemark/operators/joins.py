@@ -11,19 +11,26 @@ from ..functions.times import micros
 from ..schemas import FEATURES, FUNDAMENTAL_FEATURES, MACRO_ALIASES
 
 MINUTE = 60_000_000
+#: Length of the time buckets of as-of joins.
+BUCKET = 60 * MINUTE
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: list[str], values: list[str], tie: Column, tolerance: int | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: list[str], values: list[str], tie: Column, tolerance: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """Each left row with the values of the newest right row of its key with right_ts <= left_ts, at most `tolerance` microseconds before.
 
-    Both sides go into one sorted stream by key and the last right row is carried forward: one shuffle, no range join. On equal times the
+    Both sides go into one sorted stream by key and time bucket (`bucket` microseconds) and the last right row is carried forward, so a hot key is
+    many tasks; a bucket opens with the last right row of the buckets before it, of which one row each is compared by key. No range join. On equal times the
     greatest `tie` (a column of the right side) wins. Without a match the values are null.
     """
     a = left.select(*by, micros(left_ts).alias("_us"), F.lit(1).alias("_side"), F.lit(None).alias("_tie"), F.struct(*left.columns).alias("_row"), F.lit(None).alias("_held"))
     b = right.select(*by, micros(right_ts).alias("_us"), F.lit(0).alias("_side"), tie.alias("_tie"), F.lit(None).alias("_row"), F.struct(micros(right_ts).alias("at"), *values).alias("_held"))
-    order = W.partitionBy(*by).orderBy("_us", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
+    both = a.unionByName(b).withColumn("_bucket", F.floor(F.col("_us") / bucket))
+    ends = both.groupBy(*by, "_bucket").agg(F.max_by(F.col("_held"), F.when(F.col("_side") == 0, F.struct("_us", "_tie"))).alias("_held"))
+    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    opening = ends.withColumn("_held", F.last("_held", ignorenulls=True).over(before)).filter("_held is not null").withColumn("_us", F.col("_bucket") * bucket).withColumn("_side", F.lit(-1))
+    order = W.partitionBy(*by, "_bucket").orderBy("_us", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
     held = F.last("_held", ignorenulls=True).over(order)
-    out = a.unionByName(b).withColumn("_held", held).filter("_side = 1")
+    out = both.unionByName(opening, allowMissingColumns=True).withColumn("_held", held).filter("_side = 1")
     if tolerance is not None:
         out = out.withColumn("_held", F.when(F.col("_us") - F.col("_held.at") <= tolerance, F.col("_held")))
     return out.select("_row.*", *[F.col(f"_held.{v}").alias(v) for v in values])
