@@ -442,3 +442,49 @@ def test_no_ngram_is_left_out(spark):
     for most in (1 << 20, 100):
         lev = scoring.filtered(keys, counts, scoring.BIGRAM, most)
         assert (lev[counts > 0] >= scoring.level(counts[counts > 0])).all() and (lev[counts == 0] > 0).mean() < 0.05
+
+
+def thue_morse(n):
+    """A string of a and b and its complement: polynomial hashes modulo a power of two take them for one, whatever the base."""
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+def test_crafted_words_are_told_apart(spark, tmp_path):
+    one, two = thue_morse(2048)
+    tail = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{two} {tail}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in rows_of(substrings.remove_repeats(df))] == [0, 0]
+    few = spark.createDataFrame([(1, f"{one} x y z u"), (2, f"{two} x y z u")], "doc_id long, text string")
+    assert all(r["copy_of"] == r["doc_id"] == r["class_id"] for r in rows_of(neardups.near_duplicates(few)))
+    assert len({r["fingerprint"] for r in rows_of(fingerprints.fingerprint_documents(few))}) == 2
+    path = vocabulary("word_bpe_49k.json")
+    ids = packing.WordIds(path)
+    assert ids.encode([one.encode(), two.encode()]) == [ids.whole(one), ids.whole(two)]
+
+
+def test_repeats_of_bare_and_strict_schemas(spark):
+    from pyspark.sql import types as T
+
+    rows = [(1, " ".join(LOREM[:60]), 3), (2, " ".join(LOREM[:60]), 4)]
+    strict = T.StructType([T.StructField("doc_id", T.LongType(), False), T.StructField("text", T.StringType(), False), T.StructField("n", T.LongType(), False)])
+    for df in (spark.createDataFrame(rows, strict), spark.createDataFrame(rows, strict).select("doc_id", "text")):
+        assert [r["n_removed"] for r in sorted(rows_of(substrings.remove_repeats(df)), key=lambda r: r["doc_id"])] == [0, 60]
+        assert len(rows_of(neardups.near_duplicates(df))) == len(rows_of(fingerprints.compare_with_next(df))) == 2
+    assert [r["rest"]["n"] for r in rows_of(language.identify(spark.createDataFrame(rows, strict), {"en": " one two "}))] == [3, 4]
+
+
+def test_rows_of_one_doc_id_with_other_texts(spark):
+    texts = [" ".join(LOREM[a : a + 40]) for a in (0, 50, 100)]
+    df = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[0])], "doc_id long, text string")
+    for _ in range(2):
+        got = sorted((r["doc_id"], r["class_id"], r["n_copies"]) for r in rows_of(neardups.near_duplicates(df)))
+        assert got == [(1, 1, 1), (1, 1, 2), (2, 2, 1), (3, 1, 2)]
+
+
+def test_hot_class_is_met_by_broadcast(spark):
+    rows = [(i, "one two three four five six" if i % 2 else f"a{i} b{i} c{i} d{i} e{i}") for i in range(400)] + [(None, "x")] * 30 + [(1000 + i, "") for i in range(30)]
+    got = rows_of(neardups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert len(got) == 460 and sum(r["n_copies"] == 200 and r["class_id"] == 1 for r in got) == 200

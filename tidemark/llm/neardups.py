@@ -6,7 +6,7 @@ goes on. Band hashes are shuffled; each bucket ties its members to the least one
 into blocks of bounded size, and every pair of blocks is verified in a task on the full shingle sets, so a large cluster is many tasks
 and no pair becomes a row: a task gives each document's number of links and a spanning forest of them.
 
-Null text, text without a word and rows with null doc_id are alone: class_id is their doc_id, n_links 0. Rows of the same doc_id are taken for one document.
+Null text, text without a word and rows with null doc_id are alone: class_id is their doc_id, n_links 0. Rows of the same doc_id are taken for one document, whose text is the one that leads a class, of several the least by a hash.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .shared import by_bytes, identity, ship, trim, trimmed, written
 from .words import mix, sequence_hashes, word_hashes
 
 SHINGLE, THRESHOLD, RECALL, PERMUTATIONS = 5, 0.8, 0.998, 128
-BLOCK_ROWS, BLOCK_BYTES = 256, 4 << 20
+BLOCK_ROWS, BLOCK_BYTES, HOT = 256, 4 << 20, 64
 
 
 def bands_and_rows(threshold: float, recall: float, permutations: int) -> tuple[int, int]:
@@ -104,7 +104,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     spark = docs.sparkSession
     ship(spark)
     bands, rows = bands_and_rows(threshold, recall, permutations)
-    base = identity(docs).select("doc_id", "text")
+    base = identity(docs).select("doc_id", "text", F.xxhash64("text").alias("own"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in trimmed(batches):
@@ -123,38 +123,40 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
                     same.append(mix(sums[firsts + counts] - sums[firsts]).view(np.int64))
                 flat = pa.array(band.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(same[0]), pa.array(same[1]), pa.array(counts), pa.array([len(t) for t in batch.column(1).to_pylist()], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(counts) + 1, bands, dtype=np.int32)), flat)],
-                    ["doc_id", "h1", "h2", "n_words", "size", "bands"],
+                    [batch.column(0), pa.array(same[0]), pa.array(same[1]), batch.column(2), pa.array(counts), pa.array([len(t) for t in batch.column(1).to_pylist()], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(counts) + 1, bands, dtype=np.int32)), flat)],
+                    ["doc_id", "h1", "h2", "own", "n_words", "size", "bands"],
                 )
 
-    signed = written(base.mapInArrow(sign, "doc_id long, h1 long, h2 long, n_words long, size long, bands array<long>"), "signatures")
+    signed = written(base.mapInArrow(sign, "doc_id long, h1 long, h2 long, own long, n_words long, size long, bands array<long>"), "signatures")
     linked = signed.filter("n_words > 0 and doc_id is not null")
-    classes = linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"))
-    leaders = linked.join(classes.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "copy_of"), (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("doc_id") == F.col("copy_of"))).select("doc_id", "size", "bands").dropDuplicates(["doc_id"])
+    # Combined before the shuffle, so a class of a third of all rows is a row a task.
+    first = F.min_by(F.struct("own", "size", "bands"), F.struct("doc_id", "own"))
+    classes = written(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"), first.alias("first")), "classes")
+    leaders = classes.groupBy(F.col("copy_of").alias("doc_id")).agg(F.min_by("first", "first.own").alias("first")).select("doc_id", "first.*")
     banded = leaders.select("doc_id", F.posexplode("bands").alias("band", "value"))
     buckets = banded.groupBy("band", "value").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).filter("n > 1")
     ties = banded.join(buckets, ["band", "value"]).filter("doc_id != low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
     clusters = components(ties).withColumnRenamed("node", "doc_id").withColumnRenamed("least", "cluster")
-    members = written(clusters.join(leaders.select("doc_id", "size"), "doc_id"), "clusters")
+    members = written(clusters.join(leaders.select("doc_id", "own", "size"), "doc_id"), "clusters")
     cut = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_BYTES), F.lit(1)).cast("int").alias("parts"))
     groups = max(1, math.ceil((members.agg(F.sum("size")).first()[0] or 0) / BLOCK_BYTES))
     dealt = (
         members.join(cut, "cluster")
-        .withColumn("own", F.pmod(F.xxhash64(F.lit(11), "doc_id"), "parts").cast("int"))
+        .withColumn("mine", F.pmod(F.xxhash64(F.lit(11), "doc_id"), "parts").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
-            "doc_id", "cluster", "own",
+            "doc_id", "cluster", "mine",
             # Whole clusters share tasks; a cut one has a task for each two of its parts.
             F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(groups))).otherwise(F.col("cluster")).alias("task"),
-            F.when(F.col("parts") == 1, -1).otherwise(F.least("own", "other")).alias("low"), F.greatest("own", "other").alias("high"),
+            F.when(F.col("parts") == 1, -1).otherwise(F.least("mine", "other")).alias("low"), F.greatest("mine", "other").alias("high"),
         )
     )
-    texts = base.join(members.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = base.join(members.select("doc_id", "own"), ["doc_id", "own"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
 
     def verify(table: pa.Table) -> pa.Table:
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        table = table.sort_by([("cluster", "ascending"), ("own", "ascending"), ("doc_id", "ascending")])
-        doc, cluster, own = (table.column(c).to_numpy() for c in ("doc_id", "cluster", "own"))
+        table = table.sort_by([("cluster", "ascending"), ("mine", "ascending"), ("doc_id", "ascending")])
+        doc, cluster, own = (table.column(c).to_numpy() for c in ("doc_id", "cluster", "mine"))
         counts, words = word_hashes(table.column("text").to_pylist())
         value, of, _ = sequence_hashes(words[0], counts, SHINGLE, short=True)
         sets = [np.unique(s) for s in np.split(value, np.searchsorted(of, np.arange(1, len(doc))))]
@@ -175,9 +177,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     links = found.groupBy("doc_id").agg(F.sum("n_links").alias("n_links"))
     ends = components(found.select(F.col("doc_id").alias("a"), F.col("tied").alias("b")))
     near = links.join(ends.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias("copy_of"), F.coalesce("least", "doc_id").alias("class_id"), "n_links")
-    keyed = signed.select("doc_id", F.when((F.col("n_words") > 0) & F.col("doc_id").isNotNull(), F.col("h1")).alias("h1"), "h2")
-    return (
-        keyed.join(classes, ["h1", "h2"], "left")
-        .join(near, "copy_of", "left")
-        .select("doc_id", F.coalesce("class_id", "copy_of", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    named = classes.select("h1", "h2", "copy_of", "n_copies").join(near, "copy_of", "left")
+    keys, kept = ["h1", "h2"], ["class_id", "copy_of", "n_copies", "n_links"]
+    told = written(named.select(*keys, F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes-told")
+    # Classes of over 1 / HOT of all rows are fewer than HOT and are met by broadcast; rows that are alone meet none.
+    common = F.col("n_copies") > signed.count() / HOT
+    rows_, hot = linked.select("doc_id", *keys), F.broadcast(told.filter(common))
+    copies = rows_.join(hot, keys).unionByName(rows_.join(hot, keys, "left_anti").join(told.filter(~common), keys)).select("doc_id", *kept)
+    alone = signed.filter("n_words = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    return copies.unionByName(alone)

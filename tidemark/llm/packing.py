@@ -65,7 +65,7 @@ class WordIds:
         new = _SPACE[before] | (_STOP[buf] & _SMALL[before])
         starts = np.flatnonzero(~gap & new)
         ends = np.flatnonzero(~_SPACE[before] & (gap | new))
-        one, two = span_hashes(buf, starts, ends, 2)
+        one, two = span_hashes(whole + b"        ", starts, ends, 2)
         _, first, which = np.unique(one, return_index=True, return_inverse=True)
         if not np.array_equal(two, two[first][which]):  # two spans of one hash
             return [self.whole(t.decode()) for t in texts]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bits_for, block_count, bucket_slices, identity, ship, sizes, written
+from .shared import bits_for, block_count, block_of, bucket_slices, identity, ship, sizes, written
 from .words import mix, word_hashes
 
 #: The second bounds a slice of the filter that is in memory at a time, not the filter.
@@ -98,7 +98,7 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYT
     blocks = block_count(sizes(docs)[1], block_bytes)
     buckets = bits_for(max(1, blocks // 2))
     flag = identity(docs.withColumn("__train", F.coalesce(train, F.lit(False)))).select("doc_id", "text", F.col("rest.__train").alias("train"))
-    rows = flag.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(blocks)).cast("int"))
+    rows = flag.withColumn("block", block_of(blocks))
 
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import word_count, written
 
 PARCELS = 8192
 #: A group of over 1 / HOT of a shard is split.
@@ -48,7 +48,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, parcels: int = PARCELS) ->
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.size(F.split(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), " +")), F.lit(0)).cast("long").alias("words"),
+        word_count(F.col("text")).cast("long").alias("words"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(F.col("text"), F.col("text").isNull()).alias("h"),
         F.xxhash64(F.lit(17), F.col("doc_id")).alias("d"),

@@ -79,8 +79,10 @@ def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset one of our own (for tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset and all runs in one process one of our own (for tests)."""
     held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not held and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not held:
         held = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.sparkContext.setCheckpointDir(held)
@@ -96,12 +98,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def identity(docs: DataFrame) -> DataFrame:
-    """doc_id as long, text as UTF-8 bytes (null: empty), and all other columns in one struct `rest`, so none can clash."""
+    """doc_id as long, text as UTF-8 bytes (null: empty), and all other columns in one struct `rest`, so none can clash; all nullable, as tasks return them."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kind = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.simpleString() if rest else "struct<none:int>"
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
-        (F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(1).alias("none"))).alias("rest"),
+        (F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(None).cast("int").alias("none"))).cast(kind).alias("rest"),
     )
 
 
@@ -117,9 +120,13 @@ def sizes(docs: DataFrame) -> tuple[int, int]:
 
 
 def block_count(total_bytes: int, block_bytes: int) -> int:
-    """Blocks of about `block_bytes`; beyond 4096 blocks they grow instead, up to 16 times, since blocks talk to every bucket."""
-    n = max(1, total_bytes // block_bytes)
-    return int(n if n <= 4096 else max(4096, n // 16))
+    """Blocks of about `block_bytes`, at every size. A block sends a row only to hash ranges that it has keys for, so rows never outnumber keys."""
+    return int(max(1, total_bytes // block_bytes))
+
+
+def block_of(blocks: int) -> Column:
+    """The block of a row of `identity`: by doc_id; rows without one, which may be many, by text."""
+    return F.pmod(F.xxhash64(F.lit(7), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks)).cast("int")
 
 
 def by_bytes(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:

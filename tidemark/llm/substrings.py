@@ -11,7 +11,7 @@ Windows are `width` consecutive words. Documents are dealt into blocks of bounde
    ranges, and each block hears, one bit each, which of its first places is the first in all.
 3. Each block drops the words that a window covers which has an earlier place.
 
-Places are ordered by doc_id (null last), rows of one doc_id by text, then by position. Null text has no words. A text shorter than a
+Places are ordered by doc_id (null last), rows of one doc_id by text (rows without one first by position and a hash of the text), then by position. Null text has no words. A text shorter than a
 window loses nothing, unless rows repeat in long texts: of equal rows the first keeps its words. Other columns pass through.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bits_for, block_count, bucket_slices, identity, ship, sizes, tidily, written
+from .shared import bits_for, block_count, block_of, bucket_slices, identity, ship, sizes, tidily, written
 from .words import sequence_hashes, word_hashes
 
 WIDTH, GRAM, DEPTH, BLOCK_BYTES = 20, 8, 2, 6 << 20
@@ -97,7 +97,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, depth:
     # About 1 place for 40 bytes of text; cells at 8 times that.
     bits = min(60, max(buckets + 4, bits_for(max(1, total // 5))))
     wide = 9 if bits - buckets > 32 else 5
-    rows = identity(docs).withColumn("block", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(blocks)).cast("int"))
+    rows = identity(docs).withColumn("block", block_of(blocks))
     bare = rows.select("block", "doc_id", "text")
 
     def sketch(table: pa.Table) -> pa.Table:
@@ -158,7 +158,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, depth:
         lengths = [len(d) // 24 for d in data]
         parts = [[d[a * n : b * n] for d, n in zip(data, lengths)] for a, b in ((0, 8), (8, 12), (12, 20), (20, 24))]
         key, check, doc, pos = (np.frombuffer(b"".join(p), t) for p, t in zip(parts, ("<u8", "<u4", "<i8", "<u4")))
-        order = np.lexsort((pos, doc, check, key))
+        order = np.lexsort((np.repeat(block, lengths), pos, doc, check, key))
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
         first = np.zeros(len(order), bool)
@@ -174,7 +174,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, depth:
     kind = rows.schema["rest"].dataType.simpleString()
 
     def finish(docs_: pa.Table, heard: pa.Table) -> pa.Table:
-        out_schema = pa.schema([docs_.schema.field(c) for c in ("doc_id", "text", "rest")] + [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
+        out_schema = pa.schema([(c, docs_.schema.field(c).type) for c in ("doc_id", "text", "rest")] + [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
         if not docs_.num_rows:
             return out_schema.empty_table()
         table, doc, texts = _ordered(docs_)

@@ -1,63 +1,48 @@
 """Words of whole texts as numpy arrays, for use inside tasks.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D in the UTF-8 text, which is what
-`bytes.split()` gives. Word and word-sequence hashes are polynomial prefix sums modulo 2**64, so a
-window of any width costs the same.
+`bytes.split()` gives. A word's hash mixes in eight of its bytes at a time (the words of a batch side by side), a long word's is of
+its BLAKE2b digest; the hash of a sequence of words mixes theirs pairwise, in about log2(width) steps. Shifts between the
+multiplications keep both from being polynomials, which chosen words could make collide.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
-_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _CHUNK = 1 << 18
-_KEPT = 1 << 19
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base and of its inverse, modulo 2**64."""
-    held = _tables.get(base)
-    if held is None or len(held[0]) < n:
-        n = max(n, 1 << 16)
-        made = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(n, b, np.uint64)
-            steps[0] = 1
-            made.append(np.cumprod(steps, dtype=np.uint64))
-        held = (made[0], made[1])
-        if n <= _KEPT:
-            _tables[base] = held
-    return held
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
-    x = x ^ (x >> np.uint64(33))
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
-    return x
-
-
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: int = 1) -> list[np.ndarray]:
-    """For each of `seeds` independent hashes, the values of the byte spans [start, end) of `buf`."""
-    wide = buf.astype(np.uint64)
-    wide += np.uint64(1)
-    out = []
-    for s in range(seeds):
-        up, down = _powers(_ODD[s], len(buf) + 1)
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(wide * up[: len(buf)], out=sums[1:])
-        out.append(mix((sums[ends] - sums[starts]) * down[starts]))
-    return out
+#: Bytes of a word that are mixed in; a longer word goes by its digest.
+_LONG = 256
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, seeds: int) -> list[np.ndarray]:
+    """For each of `seeds` independent hashes, the values of the byte spans [start, end); eight bytes must follow the last."""
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    size = ends - starts
+    out = [(size + 1).astype(np.uint64) * np.uint64(_SEEDS[s]) for s in range(seeds)]
+    live, at = np.arange(len(starts)), 0
+    while len(live) and at < _LONG:
+        left = size[live] - at
+        eight = eights[starts[live] + at] & _FIRST[np.minimum(left, 8)]
+        for x in out:
+            x[live] = _joined(x[live], eight)
+        live = live[left > 8]
+        at += 8
+    for i in live.tolist():
+        digest = blake2b(data[starts[i] : ends[i]], digest_size=16).digest()
+        for s, x in enumerate(out):
+            x[i] = int.from_bytes(digest[8 * s : 8 * s + 8], "little")
+    return [mix(x) for x in out]
 
 
 def word_hashes(texts: list[bytes], seeds: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Words in each text, and for each of `seeds` independent hashes the values of all words in order."""
+    """Words in each text, and for each of `seeds` (one or two) independent hashes the values of all words in order."""
     counts: list[np.ndarray] = []
     out: list[list[np.ndarray]] = [[] for _ in range(seeds)]
     at = 0
@@ -68,22 +53,41 @@ def word_hashes(texts: list[bytes], seeds: int = 1) -> tuple[np.ndarray, list[np
             upto += 1
         part = texts[at:upto]
         at = upto
-        buf = np.frombuffer(b" ".join(part) + b" ", np.uint8)
-        space = np.empty(len(buf) + 1, np.int8)
-        space[0] = 1
-        space[1:] = _SPACE[buf]
+        data = b" ".join(part) + b"         "
+        space = np.ones(len(data) + 1, np.int8)
+        space[1:] = _SPACE[np.frombuffer(data, np.uint8)]
         edge = np.diff(space)
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         bounds = np.zeros(len(part) + 1, np.int64)
         np.cumsum([len(t) + 1 for t in part], out=bounds[1:])
         counts.append(np.diff(np.searchsorted(starts, bounds)))
-        for s, h in enumerate(span_hashes(buf, starts, ends, seeds)):
+        for s, h in enumerate(span_hashes(data, starts, ends, seeds)):
             out[s].append(h)
     if not counts:
         return np.zeros(0, np.int64), [np.zeros(0, np.uint64) for _ in range(seeds)]
     return np.concatenate(counts).astype(np.int64), [np.concatenate(x) for x in out]
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every input bit reaches every output bit."""
+    x = x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a sequence from those of its beginning and its end."""
+    x = a * np.uint64(0x9FB21C651E98DF25)
+    x ^= x >> np.uint64(32)
+    x += b
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(31)
+    return x
+
+
 def sequence_hashes(words: np.ndarray, counts: np.ndarray, width: int, short: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text and word position of each run of `width` words in each text.
 
@@ -109,19 +113,26 @@ def _runs(words: np.ndarray, counts: np.ndarray, width: int, short: bool, seed:
     ends = np.cumsum(counts)
     firsts = ends - counts
     doc = np.repeat(np.arange(len(counts)), counts)
-    up, down = _powers(_ODD[(seed + 1) % len(_ODD)], n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * up[:n], out=sums[1:])
     start = np.arange(n)
     full = start + width <= ends[doc]
-    stop = start + width
+    value = np.zeros(n, np.uint64)
+    x = words + np.uint64(_SEEDS[seed])
+    if n >= width:
+        done, whole = 1, x
+        while done < width:
+            step = min(done, width - done)
+            whole = _joined(whole[:-step], whole[step:])
+            done += step
+        value[: n - width + 1] = whole
     if short:
-        lone = (counts[doc] < width) & (start == firsts[doc])
-        stop = np.where(lone, ends[doc], stop)
-        full |= lone
-    start, stop, doc = start[full], stop[full], doc[full]
-    value = mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
-    return value, doc, start - firsts[doc]
+        few = np.flatnonzero((counts > 0) & (counts < width))
+        at = x[firsts[few]]
+        for k in range(1, width - 1):
+            more = counts[few] > k
+            at[more] = _joined(at[more], x[firsts[few[more]] + k])
+        value[firsts[few]] = mix(at + counts[few].astype(np.uint64))
+        full[firsts[few]] = True
+    return value[full], doc[full], (start - firsts[doc])[full]
 
 
 def as_bytes(column) -> list[bytes]:
