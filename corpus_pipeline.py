@@ -26,9 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the least doc_id stays. Rows without doc_id stay."""
+    """Of each near-duplicate group the document with the least doc_id stays, with all its different texts. Rows without doc_id stay."""
     stay = neardups.near_duplicates(docs).filter("doc_id = class_id").select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
