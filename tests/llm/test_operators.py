@@ -488,3 +488,20 @@ def test_hot_class_is_met_by_broadcast(spark):
     rows = [(i, "one two three four five six" if i % 2 else f"a{i} b{i} c{i} d{i} e{i}") for i in range(400)] + [(None, "x")] * 30 + [(1000 + i, "") for i in range(30)]
     got = rows_of(neardups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
     assert len(got) == 460 and sum(r["n_copies"] == 200 and r["class_id"] == 1 for r in got) == 200
+
+
+def test_language_equals_brute_force(docs):
+    """Predictions, scores and entropies from phrases counted one text at a time."""
+    refs = language.references(docs.filter(~language.held_out(5, 0)))
+    assert len(refs) > 1 and all("  " not in t for t in refs.values())
+    automata = {k: language.SuffixAutomaton(t) for k, t in sorted(refs.items())}
+    for r in rows_of(language.identify(docs, refs)):
+        text = language.normal(bytes(r["text"]).decode())
+        letters = sum(map(str.isalpha, text))
+        if not letters:
+            assert (r["lang_pred"], r["score"], r["bits"]) == ("und", 0.0, 0.0)
+            continue
+        bits = {k: sum(a.phrases(text[i : i + language.PIECE]) for i in range(0, len(text), language.PIECE)) * math.log2(len(refs[k])) / letters for k, a in automata.items()}
+        best = min(sorted(bits), key=bits.get)
+        rest = min(v for k, v in bits.items() if k != best)
+        assert r["lang_pred"] == best and math.isclose(r["score"], rest / (bits[best] + rest)) and math.isclose(r["bits"], bits[best])

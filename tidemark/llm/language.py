@@ -1,33 +1,39 @@
 """Language identification by cross-parsing entropy.
 
-Each language's reference is a suffix automaton over the most frequent words of a bounded sample of labelled
-documents. A text, lower-cased and cut into words of letters with a space on either side, is parsed against each
-reference into longest matches; as a match never spans two words, a word's phrase counts are the same wherever
-it stands and a task keeps them. Phrases times log2 of the reference's length, by letters of the text, is the
-cross-parsing entropy; the language with the lowest wins, the first by name on ties.
-
-The sample is bounded by two parameters: about `sample_docs` documents a language, chosen by a hash of doc_id,
-and their `sample_words` most frequent words of at most 40 letters. Prediction reads the whole text and only the text.
-Null text, or text without a letter, or no labelled document at all, gives `und` with score 0. Repeated rows each get a prediction.
+Each language's reference is the running text of a bounded sample of labelled documents, in a suffix automaton. Text is lower-cased and
+every run of other characters than letters becomes one space. A text is parsed against each reference into longest matches, which may span
+words; at every PIECE letters a new match begins, so that a task parses many pieces side by side, one character of each at a step. Phrases times log2 of the reference's
+length, by letters of the text, is the cross-parsing entropy; the language with the lowest wins, the first by name on ties.
+
+The sample is bounded by one parameter: about `sample_docs` documents a language, chosen by a hash of doc_id, each whole. Prediction reads the whole text and only the text.
+Null text, or text without a letter, or no labelled document at all, gives `und` with score 0. Repeated rows each get a prediction. Other columns pass through in `rest`.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import by_bytes, identity, only, ship, trimmed
 
-SAMPLE_DOCS, SAMPLE_WORDS = 500, 6000
-_LETTERS = re.compile(r"[^\W\d_]+")
-_KEPT = 300_000
+SAMPLE_DOCS, PIECE, TARGET = 32, 2048, 25
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+
+
+def normal(text: str) -> str:
+    """Lower-cased letters, with one space before and after each run of them."""
+    return " ".join(["", *"".join(c if c.isalpha() else " " for c in text.lower()).split(), ""]) if text else " "
 
 
 class SuffixAutomaton:
@@ -77,42 +83,127 @@ class SuffixAutomaton:
 
 
 class Parser:
-    """Phrase counts of words against each language's reference."""
+    """Phrase counts of texts against each language's reference, many texts at a time.
+
+    The automata's transitions are in one hash table, keyed by state and character, whatever the alphabet.
+    """
 
     def __init__(self, references: dict[str, str]):
         self.langs = sorted(references)
-        self.automata = [SuffixAutomaton(references[x]) for x in self.langs]
-        self.weight = np.array([math.log2(max(a.size, 2)) for a in self.automata])
-        self.forget()
-
-    def forget(self) -> None:
-        self.row: dict[str, int] = {}
-        self.counts = np.zeros((1024, len(self.langs)), np.int32)
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        for w in set(words).difference(self.row):
-            k = len(self.row)
-            if k == len(self.counts):
-                self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-            padded = f" {w} "
-            self.counts[k] = [a.phrases(padded) for a in self.automata]
-            self.row[w] = k
-        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+        letters = sorted({c for x in references.values() for c in x})
+        self.code = np.zeros(max(map(ord, letters), default=0) + 2, np.int64)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width, self.roots, keys, targets, first = len(letters) + 1, [], [], [], 0
+        number = {c: i for i, c in enumerate(letters, 1)}
+        self.space = number.get(" ", 0)
+        self.begin = np.zeros((len(self.langs), self.width), np.int64)
+        self.weight = np.array([math.log2(max(len(references[x]), 2)) for x in self.langs])
+        for k, lang in enumerate(self.langs):
+            nexts = SuffixAutomaton(references[lang]).nexts
+            self.roots.append(first)
+            self.begin[k] = first
+            for c, to in nexts[0].items():
+                self.begin[k, number[c]] = first + to
+            keys.append(np.fromiter(((first + at) * self.width + number[c] for at, own in enumerate(nexts) for c in own), np.int64))
+            targets.append(np.fromiter((first + to for own in nexts for to in own.values()), np.int64))
+            first += len(nexts)
+        self._fill(np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *targets]))
+
+    def _fill(self, keys: np.ndarray, targets: np.ndarray) -> None:
+        """Each key is in one of its two slots, with a state in its low TARGET bits; -1 is a free slot."""
+        if len(keys) and (keys.max() >> 63 - TARGET or targets.max() >> TARGET):
+            raise ValueError("the sample of labelled documents is too large for an automaton")
+        bits = max(4, int(2 * len(keys)).bit_length())
+        while True:
+            self.shift = np.uint64(64 - bits)
+            self.slots = np.full(1 << bits, -1, np.int64)
+            held = keys << TARGET | targets
+            slot = self._slot(keys, 0)
+            for _ in range(500):
+                if not len(held):
+                    return
+                old = self.slots[slot]
+                self.slots[slot] = held
+                put = self.slots[slot] == held
+                # What was there, and what another one took the slot from, goes to its other slot.
+                gone = put & (old != -1)
+                held, at = np.concatenate([old[gone], held[~put]]), np.concatenate([slot[gone], slot[~put]])
+                slot = self._slot(held >> TARGET, 0) ^ self._slot(held >> TARGET, 1) ^ at
+            bits += 1
+
+    def _slot(self, keys: np.ndarray, which: int) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[which])) >> self.shift).astype(np.int64)
+
+    def _step(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The state after one more character, -1 where there is none."""
+        keys = states * self.width + codes
+        out = self.slots[self._slot(keys, 0)]
+        other = np.flatnonzero(out >> TARGET != keys)
+        held = self.slots[self._slot(keys[other], 1)]
+        held[held >> TARGET != keys[other]] = -1
+        out[other] = held
+        return np.where(out < 0, -1, out & ((1 << TARGET) - 1))
+
+    def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The normal forms of texts as codes, one after another, their sizes, and how many letters each has."""
+        joined = np.frombuffer("".join([f" {t.lower()} " for t in texts]).encode("utf-32-le"), "<u4").astype(np.int64)
+        sizes = np.array([len(t.lower()) + 2 for t in texts], np.int64)
+        firsts = np.cumsum(sizes) - sizes
+        letter = _letters()[joined]
+        kept = letter | np.append(True, letter[:-1])
+        kept[firsts] = True
+        codes = np.where(letter, self.code[np.minimum(joined, len(self.code) - 1)], self.space)[kept]
+        return codes, np.add.reduceat(kept.astype(np.int64), firsts), np.add.reduceat(letter.astype(np.int64), firsts)
+
+    def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Longest matches that each text (a row) falls into against each reference (a column); a character never seen is one alone."""
+        pieces = -(-sizes // PIECE)
+        owner = np.repeat(np.arange(len(sizes)), pieces)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = (np.cumsum(sizes) - sizes)[owner] + within * PIECE
+        length = np.minimum(sizes[owner] - within * PIECE, PIECE)
+        order = np.argsort(-length, kind="stable")
+        owner, start, length = owner[order], start[order], length[order]
+        live = np.searchsorted(-length, -np.arange(1, PIECE + 1), side="right")  # pieces of at least so many letters
+        n = len(self.langs)
+        root = np.tile(np.array(self.roots, np.int64), len(start))
+        lang = np.tile(np.arange(n), len(start))
+        states, counts = root.copy(), np.zeros(len(root), np.int64)
+        for k in range(int(length[0]) if len(length) else 0):
+            m = int(live[k]) * n
+            now, code = states[:m], np.repeat(codes[start[: live[k]] + k], n)
+            after = self._step(now, code)
+            dead = after < 0
+            counts[:m] += dead | (now == root[:m])
+            at = np.flatnonzero(dead)
+            after[at] = self.begin[lang[at], code[at]]
+            states[:m] = after
+        out = np.zeros((len(sizes), n), np.int64)
+        np.add.at(out, owner, counts.reshape(-1, n))
+        return out
+
+    def predict_all(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """For each text the language, the score and the entropy a letter (`und`, 0 and 0 where there is nothing to tell)."""
+        said, score, bits = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        if not texts or not self.langs:
+            return said, score, bits
+        codes, sizes, letters = self.coded(texts)
+        entropy = self.phrases(codes, sizes) * self.weight / np.maximum(letters, 1)[:, None]
+        rows, best = np.arange(len(texts)), np.argmin(entropy, axis=1)
+        least = entropy[rows, best]
+        entropy[rows, best] = np.inf
+        some = letters > 0
+        rest = entropy.min(axis=1)
+        score[some] = (rest / (least + rest))[some] if len(self.langs) > 1 else 1.0
+        bits[some] = least[some]
+        return [self.langs[b] if s else "und" for b, s in zip(best.tolist(), some.tolist())], score, bits
 
     def predict(self, text: str) -> tuple[str, float]:
-        words = _LETTERS.findall(text.lower())
-        if not self.langs or not any(c.isalpha() for w in words for c in w):
-            return "und", 0.0
-        if len(self.row) > _KEPT:
-            self.forget()
-        rows = self.rows(words)
-        entropy = self.counts[rows].sum(axis=0) * self.weight / sum(map(len, words))
-        best = int(np.argmin(entropy))
-        rest = np.delete(entropy, best)
-        return self.langs[best], float(rest.min() / (entropy[best] + rest.min())) if len(rest) else 1.0
-
-
-def references(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> dict[str, str]:
+        said, score, _ = self.predict_all([text])
+        return said[0], float(score[0])
+
+
+def references(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, str]:
     """A reference text for each language of labelled documents (doc_id, text, lang), from the bounded sample."""
     known = labelled.filter("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -120,22 +211,14 @@ def references(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words
         return {}
     rate = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(float(sample_docs / n)))])
     place = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    word = (
-        known.filter(place < rate[F.col("lang")])
-        .select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
-        .filter("length(word) between 1 and 40")
-        .groupBy("lang", "word")
-        .agg(F.count("*").alias("n"))
-    )
-    top = word.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= sample_words)
-    out: dict[str, list[str]] = {}
-    for r in top.select("lang", "word", "rank").orderBy("lang", "rank").collect():
-        out.setdefault(r["lang"], []).append(r["word"])
-    return {k: f" {' '.join(v)} " for k, v in out.items()}
+    out: dict[str, list[str]] = {k: [] for k in counts}
+    for r in known.filter(place < rate[F.col("lang")]).select("lang", "text", "doc_id").orderBy("lang", "doc_id", "text").collect():
+        out[r["lang"]].append(normal(r["text"]))
+    return {k: "".join(v).replace("  ", " ") for k, v in out.items() if any(map(str.isalpha, "".join(v)))}
 
 
 def identify(docs: DataFrame, references: dict[str, str]) -> DataFrame:
-    """doc_id, rest (struct of the other columns), text, lang_pred, score."""
+    """doc_id, rest (struct of the other columns), text, lang_pred, score, bits (entropy a letter)."""
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(references)
@@ -144,15 +227,12 @@ def identify(docs: DataFrame, references: dict[str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = only(("parser", key), lambda: Parser(held.value))
         for batch in (part for whole in trimmed(batches) for part in by_bytes(whole)):
-            said = [parser.predict((t or b"").decode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"],
-            )
+            said, score, bits = parser.predict_all([(t or b"").decode() for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(score), pa.array(bits)], [*batch.schema.names, "lang_pred", "score", "bits"])
 
     rows = identity(docs)
     kind = rows.schema["rest"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id long, text binary, rest {kind}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"doc_id long, text binary, rest {kind}, lang_pred string, score double, bits double")
 
 
 def held_out(folds: int, fold: int) -> Column:
