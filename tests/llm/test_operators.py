@@ -505,3 +505,10 @@ def test_language_equals_brute_force(docs):
         best = min(sorted(bits), key=bits.get)
         rest = min(v for k, v in bits.items() if k != best)
         assert r["lang_pred"] == best and math.isclose(r["score"], rest / (bits[best] + rest)) and math.isclose(r["bits"], bits[best])
+
+
+def test_packing_with_clashing_columns(spark):
+    rows = [(i, 0, 700 + i % 5, i, i, i, "x", 1, 2) for i in range(40)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, salt int, before int, rank int, kept string, n int, k0 int")
+    got = rows_of(packing.pack(pieces))
+    assert len(got) == 40 and all(r["salt"] == r["before"] == r["rank"] == r["doc_id"] and r["kept"] == "x" and r["k0"] == 2 for r in got)

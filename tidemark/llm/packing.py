@@ -232,31 +232,32 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, b
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, nodes: int = NODES) -> DataFrame:
-    """`pieces` (with doc_id, piece, length and any other columns) with sequence_id and offset."""
+    """`pieces` (with doc_id, piece, length and any other columns, whatever their names) with sequence_id and offset."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "doc_id", "piece"), F.when(F.col("length") == capacity, F.lit(16 * salts)).otherwise(F.lit(salts))).cast("int"))
-    counted = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).orderBy("length", "salt").toPandas()
-    made = plan({int(k): int(n) for k, n in counted.groupby("length")["n"].sum().items()}, capacity, nodes)
-    counted["before"] = counted.groupby("length")["n"].cumsum() - counted["n"]
-    before = spark.createDataFrame(list(counted[["length", "salt", "before"]].itertuples(index=False, name=None)), "length long, salt int, before long")
-    order = W.partitionBy("length", "salt").orderBy("doc_id", "piece", *[c for c in ("ids_crc32", "start") if c in pieces.columns])
-    ranked = salted.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(order) - 1).drop("before", "salt")
+    kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(pieces.columns)]
+    salted = pieces.select("doc_id", "piece", "length", *[c for c in ("ids_crc32", "start") if c in pieces.columns], F.struct(*kept).alias("kept")).withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "doc_id", "piece"), F.when(F.col("length") == capacity, F.lit(16 * salts)).otherwise(F.lit(salts))).cast("int"))
+    # At most `salts` rows a length, and 16 times that for full ones; only the lengths' counts go to the driver.
+    counted = written(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
+    made = plan({int(r["length"]): int(r["n"]) for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity, nodes)
+    earlier = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+    before = counted.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    order = W.partitionBy("length", "salt").orderBy("doc_id", "piece", *[c for c in ("ids_crc32", "start") if c in salted.columns])
+    ranked = salted.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
     table = np.array(sorted(made.rows), np.int64).reshape(-1, 5)
     held = spark.sparkContext.broadcast((table[:, 0] << 40 | table[:, 1], table))
-    kept = [c for c in pieces.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rows = held.value
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             own = rows[np.searchsorted(keys, length << 40 | rank, side="right") - 1]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(own[:, 3] + rank - own[:, 1]), pa.array(own[:, 4])], [*kept, "sequence_id", "offset"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.column("kept").flatten(), pa.array(own[:, 3] + rank - own[:, 1]), pa.array(own[:, 4])], [*names, "sequence_id", "offset"])
 
     ship(spark)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.select(*kept, "rank").mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    names = [f"k{i}" for i in range(len(pieces.columns))]
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, pieces.schema))
+    placed = ranked.select("length", "rank", "kept").mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return placed.toDF(*[c for c in pieces.columns], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

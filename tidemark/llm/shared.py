@@ -78,6 +78,13 @@ def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
+def settle(spark: SparkSession) -> None:
+    """Between large jobs: the driver drops what the ones before have left, shuffles and broadcasts nobody refers to among it, and gives memory back."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    trim()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or where that is unset and all runs in one process one of our own (for tests)."""
     held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
