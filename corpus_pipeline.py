@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import language, neardups, packing, substrings
 from tidemark.llm.queries import vocabulary
-from tidemark.llm.shared import written
+from tidemark.llm.shared import settle, written
 
 #: Entropy a letter beyond which a text is in none of the languages; known languages cost 2 to 6 bits, an unknown script 16 or more.
 UNKNOWN_BITS = 12.0
@@ -27,6 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     An unknown lang is filled in. Without any labelled text there is nothing to tell by, and all stay.
     """
+    settle(spark)
     known = language.references(docs)
     if not known:
         return docs
@@ -36,18 +37,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document with the least doc_id stays, with all its different texts. Rows without doc_id stay."""
+    settle(spark)
     stay = neardups.near_duplicates(docs).filter("doc_id = class_id").select("doc_id")
     return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words under a window of 20 that occurs earlier go; other texts stay as they were."""
+    settle(spark)
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
     return _restored(substrings.remove_repeats(docs), docs, text=text, n_chars=F.length(text))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document, with its sequence and its offset there."""
+    settle(spark)
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
