@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.times import iso_year, micros
+from ..functions.times import in_session, iso_year, micros
 
 SECOND = 1_000_000
 WINDOWS = {"1min": 60, "5min": 300, "30min": 1800}
@@ -54,15 +54,20 @@ def sentiment_features(scores: DataFrame, at: DataFrame, horizons: dict[str, tup
 
     scores: ticker, ts, social, sentiment_score. With `general`, the scores of GENERAL count for every ticker.
     """
-    key = F.lit("GENERAL") if general else F.col("ticker")
-    points = at.select(F.monotonically_increasing_id().alias("row"), "*", key.alias("who"))
-    both = points.select("who", "ts", "row", F.lit(None).cast("string").alias("social"), F.lit(None).cast("double").alias("score")).unionByName(
-        scores.select(F.col("ticker").alias("who"), "ts", F.lit(None).cast("long").alias("row"), "social", F.col("sentiment_score").alias("score"))
-    )
-    order = W.partitionBy("who").orderBy(micros("ts"))
+    longest = max(seconds for _, seconds in horizons.values()) * SECOND
+    bucket = F.floor(F.col("us") / longest)
+    # A bucket is as long as the longest horizon, so a score counts in its own and in the next one, and no ticker is one task.
+    points = at.select((F.lit("GENERAL") if general else F.col("ticker")).alias("who"), micros("ts").alias("us"), F.struct(*at.columns).alias("row"), F.lit(None).cast("string").alias("social"), F.lit(None).cast("double").alias("score")).withColumn("bucket", bucket)
+    held = scores.select(F.col("ticker").alias("who"), micros("ts").alias("us"), F.lit(None).alias("row"), "social", F.col("sentiment_score").alias("score")).withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
+    order = W.partitionBy("who", "bucket").orderBy("us")
     made = [F.coalesce(F.avg(F.when(F.col("social") == social, F.col("score"))).over(order.rangeBetween(-seconds * SECOND, 0)), F.lit(0.0)).alias(name) for name, (social, seconds) in horizons.items()]
-    found = both.select("row", *made).filter("row is not null")
-    return points.join(found, "row").drop("row", "who")
+    return points.unionByName(held.filter(F.col("who") == "GENERAL") if general else held).select("row", *made).filter("row is not null").select("row.*", *horizons)
+
+
+def switch_by_session(df: DataFrame) -> DataFrame:
+    """Rows of (ticker, simulated, ts): those of real trades in the session, those of simulated ones outside, with `is_simulated_prediction`."""
+    outside = ~in_session("ts")
+    return df.filter(F.col("simulated") == outside).withColumn("is_simulated_prediction", outside)
 
 
 def price_spikes(df: DataFrame, threshold: float, window: str = "1 minute") -> DataFrame:

@@ -12,6 +12,8 @@ from ..functions.numbers import sentiment_score
 # Words of a small lexicon, the default scorer's.
 POSITIVE = ("gain", "growth", "profit", "rise", "the", "und")
 NEGATIVE = ("loss", "fall", "risk", "drop", "of", "le")
+#: Characters by which a keyword without a whole word inside is looked for, and the most rows of keywords that are broadcast.
+GRAM, BROADCAST = 6, 100_000
 
 
 def has_keyword(text: Column, keywords: list[str]) -> Column:
@@ -32,9 +34,28 @@ def keyword_dim(companies: DataFrame, static: tuple[tuple[str, str], ...] = ())
     return own.filter(F.length("keyword") > 1).groupBy("keyword").agg(F.max_by("ticker", "ticker_id").alias("ticker"))
 
 
-def keyword_match(texts: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:
-    """Pairs of a text and a keyword in it, as plain substrings. The keyword table is a dimension: one row a keyword."""
-    return texts.join(F.broadcast(keywords), F.contains(F.lower(text), F.col("keyword")))
+def keyword_match(texts: DataFrame, keywords: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
+    """Pairs of a text and a keyword in it, as plain substrings; `key` tells texts apart.
+
+    Candidates meet by an equality join: a keyword with a whole word inside is looked for by its longest one, another one by its
+    first GRAM characters; then the text is searched. Only keys and parts are exploded, and only parts that some keyword has go on.
+    """
+    words = F.split("keyword", " ")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w
+    known = keywords.withColumn("_word", longest).withColumn("_part", F.coalesce("_word", F.substring("keyword", 1, GRAM)))
+    size = F.length("_part")
+    lower = F.lower(F.col(text))
+    grams = [r["n"] for r in known.filter("_word is null").select(size.alias("n")).distinct().collect()]  # at most GRAM + 1 lengths
+    parts = F.split(lower, " ")
+    for n in sorted(grams):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(lower) - n + 1, F.lit(1)))
+        parts = F.concat(parts, F.transform(starts, lambda i, n=n: F.substring(lower, i, F.lit(n))))
+    every = known.select("_part").distinct()
+    few = every.limit(BROADCAST + 1).count() <= BROADCAST
+    found = texts.select(key, F.explode(F.array_distinct(parts)).alias("_part")).join(F.broadcast(every) if few else every, "_part", "left_semi")
+    found = found.join(F.broadcast(known) if few and keywords.limit(BROADCAST + 1).count() <= BROADCAST else known, "_part").drop("_part", "_word").dropDuplicates([key, *keywords.columns])
+    return texts.join(found, key).filter(F.contains(lower, F.col("keyword")))
 
 
 def cashtags(text: Column) -> Column:
@@ -63,17 +84,34 @@ def tag_tickers(df: DataFrame, text: str, keywords: list[tuple[str, str]], known
     return df.withColumn("tickers", F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found) if default else found)
 
 
-def lexicon(text: Column) -> tuple[Column, Column, Column]:
-    """Probabilities (positive, neutral, negative) from how many of the words are in the lexicon, each class counted once more."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def lexicon(text: Column) -> Column:
+    """Probabilities (struct of positive, neutral, negative) from how many of the words are in the lexicon, each class counted once more."""
     words = F.split(F.lower(text), r"[^\p{L}]+")
-    up = F.size(F.filter(words, lambda w: w.isin(*POSITIVE))) + 1.0
-    down = F.size(F.filter(words, lambda w: w.isin(*NEGATIVE))) + 1.0
-    flat = F.size(F.filter(words, lambda w: w != "")) - up - down + 3.0
-    total = up + down + flat
-    return up / total, flat / total, down / total
+
+    def counts(w: Column) -> Column:
+        # Only the first and the last part of a split can be empty.
+        empty = (w[0] == "").cast("int") + ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")
+        up, down = (F.size(F.filter(w, lambda x: x.isin(*known))) + 1.0 for known in (POSITIVE, NEGATIVE))
+        return F.struct(up.alias("up"), down.alias("down"), (F.size(w) - empty + 3.0).alias("total"))
+
+    return _let(_let(words, counts), lambda c: F.struct((c.up / c.total).alias("positive"), ((c.total - c.up - c.down) / c.total).alias("neutral"), (c.down / c.total).alias("negative")))
+
+
+def model_scorer(logits: Callable, name: str = "logits") -> Callable[[Column], Column]:
+    """A scorer that asks a model: `logits` takes an iterator of pandas Series of texts and yields one array of three logits (positive, neutral, negative) a text."""
+    from ..functions.numbers import softmax
+
+    ask = F.pandas_udf(logits, "array<double>", F.PandasUDFType.SCALAR_ITER)
+    return lambda text: _let(softmax(ask(text)), lambda p: F.struct(p[0].alias("positive"), p[1].alias("neutral"), p[2].alias("negative")))
 
 
-def score_text(df: DataFrame, text: str, scorer: Callable[[Column], tuple[Column, Column, Column]] = lexicon) -> DataFrame:
-    """df with sentiment_score; null or blank text scores 0. A model comes in as a scorer whose columns are pandas UDF results."""
-    up, flat, down = scorer(F.col(text))
-    return df.withColumn("sentiment_score", F.when(F.coalesce(F.trim(text), F.lit("")) == "", 0.0).otherwise(sentiment_score(up, flat, down)))
+def score_text(df: DataFrame, text: str, scorer: Callable[[Column], Column] = lexicon) -> DataFrame:
+    """df with sentiment_score; null or blank text scores 0. A scorer gives a struct of three probabilities; `model_scorer` makes one of a model."""
+    scored = df.withColumn("_p", scorer(F.col(text)))
+    score = sentiment_score(F.col("_p.positive"), F.col("_p.neutral"), F.col("_p.negative"))
+    return scored.withColumn("sentiment_score", F.when(F.coalesce(F.trim(text), F.lit("")) == "", 0.0).otherwise(score)).drop("_p")

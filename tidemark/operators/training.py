@@ -42,6 +42,13 @@ def split(df: DataFrame, row_id: str | None = None, train: int = 80) -> DataFram
     return df.withColumn("is_train", h < train)
 
 
+def training_frame(df: DataFrame, features: list[str], label: str, order: str, row_id: str, n: int = 5) -> DataFrame:
+    """From feature rows to what a model is trained on, all tickers in one job: complete rows, features scaled by ticker, sequences with the label of the row after, and the split."""
+    whole = df.na.drop(subset=[*features, label])
+    scaled = scale(whole.withColumn("_label", F.col(label)), fit_scaler(whole, features), features)
+    return split(training_sequences(scaled, features, "_label", order, n).drop("_label"), row_id)
+
+
 def fit_forecaster(df: DataFrame, feature: str, label: str) -> DataFrame:
     """Slope and intercept of the label on the key feature for each ticker; two sums of squares, so no ticker is gathered."""
     return df.groupBy("ticker").agg(F.regr_slope(label, feature).alias("slope"), F.regr_intercept(label, feature).alias("intercept"), F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from ..functions import times
 from ..operators import features, joins, serving
 from . import fixtures as fx
 from .registry import query
+from .registry import registered_sql as registry_sql
 
 _WINDOWS = {"1min": 60, "5min": 300, "30min": 1800, "5h": 18000, "1day": 86400}
 
@@ -207,3 +208,10 @@ def warmup(spark, d):
 @query("monotonic_points", f"WITH {fx.TRADES}, o AS (SELECT *, (event_id * 7919) % 1000003 AS arrival FROM trades) SELECT event_id FROM (SELECT event_id, ts, max(ts) OVER (PARTITION BY ticker ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o) WHERE before IS NULL OR ts > before")
 def monotonic(spark, d):
     return features.monotonic(fx.trades(spark, d).withColumn("arrival", F.col("event_id") * 7919 % 1000003), "arrival").select("event_id")
+
+
+@query("session_switch", registry_sql("grid_features_ffill").replace("SELECT ticker, simulated, cell * 600 AS at", "SELECT * FROM (SELECT ticker, simulated, cell * 600 AS at") + f""")
+WHERE simulated = NOT (SELECT {_SOD} >= 34200 AND {_SOD} < 57600 AND {_WD} < 5 FROM (SELECT make_timestamp("at" * 1000000) AS ts))""")
+def session_switch(spark, d):
+    out = features.switch_by_session(features.grid_features(fx.trades(spark, d), 600, {"30min": 1800, "5h": 18000}))
+    return out.select("ticker", F.col("is_simulated_prediction").alias("simulated"), F.unix_seconds("ts").alias("at"), _half_up("price_mean_30min", 4), _half_up("price_mean_5h", 4), "size_tot_30min", "size_tot_5h")

@@ -28,6 +28,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def registered_sql(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _sql[name]
+
+
 def _load() -> None:
     for module in ("market", "macro", "texts", "records", "training", "stores", "streams"):
         importlib.import_module(f"tidemark.plans.{module}")

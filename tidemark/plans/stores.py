@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import micros
 from ..operators import records
-from ..sources import sinks
+from ..sources import readers, sinks
 from . import fixtures as fx
 from .registry import query
 
@@ -90,3 +90,32 @@ def upsert(spark, d):
     for _ in range(2):
         sinks.upsert(newest.filter("event_id % 2 = 0"), path, ["ticker", "hour_us"], "event_id")
     return sinks.upserted(spark, path)
+
+
+@query("fundamentals_read", f'WITH {fx.FUNDAMENTALS} SELECT symbol, round(eps, 6) AS eps FROM fundamentals WHERE loaded = 2 AND "calendarYear" = \'1997\'')
+def fundamentals_read(spark, d):
+    """The store of fundamentals, read for one year."""
+    f = fx.fundamentals(spark, d)
+    path = _root(spark)
+    sinks.write_store(f, "fundamentals", path, F.col("loaded"))
+    return readers.read_fundamentals(spark, path, 1997).select("symbol", F.round("eps", 6).alias("eps"))
+
+
+@query("ticker_read", f"WITH {fx.TRADES} SELECT event_id, epoch_us(ts) AS us, price FROM trades WHERE ticker = 'CLICK'")
+def ticker_read(spark, d):
+    return readers.read_ticker(fx.trades(spark, d), "CLICK", "ts").select("event_id", micros("ts").alias("us"), "price")
+
+
+@query("macro_intervals", f"WITH {fx.RAW_MACRO}, {fx.MACRO} SELECT series, CAST(date AS VARCHAR) AS date, CAST(lead(date) OVER (PARTITION BY series ORDER BY date) AS VARCHAR) AS until, value FROM macro")
+def macro_intervals(spark, d):
+    from ..operators import joins
+
+    out = joins.valid_until(records.clean_macro(fx.raw_macro(spark, d), 1996), "series", "date")
+    return out.select("series", F.col("date").cast("string").alias("date"), F.col("until").cast("string").alias("until"), "value")
+
+
+@query("by_ticker_partitions", f"WITH {fx.TRADES} SELECT ticker, count(*) AS n, CAST(1 AS BIGINT) AS n_partitions FROM trades GROUP BY 1")
+def by_ticker(spark, d):
+    """Rows dealt by ticker: each ticker is in one partition."""
+    dealt = records.partition_by_ticker(fx.trades(spark, d), 2).withColumn("p", F.spark_partition_id())
+    return dealt.groupBy("ticker").agg(F.count("*").alias("n"), F.count_distinct("p").alias("n_partitions"))

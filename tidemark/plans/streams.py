@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
+from ..sources import readers, sinks
 from ..streaming import jobs
 from . import fixtures as fx
+from .macro import _CONTEXT as CONTEXT
+from .macro import _context as context_of
 from .market import _SPIKES
 from .registry import query
 from .stores import _root
+from .texts import _TICKER
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -33,6 +37,11 @@ def _run(df, mode="append"):
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
+def _each(df, write):
+    """All micro-batches of the stream through `write`."""
+    df.writeStream.foreachBatch(write).option("checkpointLocation", f"{_root(df.sparkSession)}/log").trigger(availableNow=True).start().awaitTermination()
+
+
 @query("stream_distinct", "SELECT DISTINCT event_id FROM events")
 def distinct(spark, d):
     events = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -62,7 +71,9 @@ def spikes(spark, d):
     return out.select("ticker", F.unix_seconds("window_start").alias("window_start"), "min_price", "max_price", F.round("price_difference", 6).alias("price_difference"))
 
 
-@query("stream_labels")
+# A row is told once the trades up to its horizon, a minute on, are closed.
+@query("stream_labels", f"""WITH {fx.TRADES} SELECT f.event_id, arg_max(t.price, (t.ts, -t.event_id)) AS y1 FROM trades f JOIN trades t ON f.ticker = t.ticker AND t.ts <= f.ts + INTERVAL 60 SECOND AND t.ts >= f.ts - INTERVAL 240 SECOND
+WHERE epoch_ms(f.ts) + 60000 <= {_CLOSED} GROUP BY f.event_id""")
 def labels(spark, d):
     a, b = (fx.trades_of(_stream(spark, d, "events")) for _ in range(2))
     return _run(jobs.labelled(a.select("event_id", "ticker", "ts"), b)).select("event_id", "y1")
@@ -73,7 +84,82 @@ def first_minute(spark, d):
     return _run(jobs.first_in_minute(fx.trades_of(_stream(spark, d, "events"))).select("ticker", micros("minute").alias("minute_us")))
 
 
-@query("stream_grid")
+@query("stream_grid", f"""WITH {fx.TRADES}, c AS (SELECT ticker, CAST(floor(epoch_us(ts) / 600000000) AS BIGINT) AS cell, avg(price) AS m FROM trades GROUP BY 1, 2), span AS (SELECT ticker, min(cell) AS lo, max(cell) AS hi FROM c GROUP BY 1),
+g AS (SELECT ticker, unnest(generate_series(lo + 1, least(hi + 6, CAST(floor({_CLOSED} / 600000) AS BIGINT)))) AS cell FROM span)
+SELECT g.ticker, g.cell * 600 AS at, round(last_value(c.m IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1e-9, 4) AS mean FROM g LEFT JOIN c ON c.ticker = g.ticker AND c.cell = g.cell - 1""")
 def grid(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
-    return _run(jobs.grid_means(fx.trades_of(_stream(spark, d, "events")), 600))
+    return _run(jobs.grid_means(fx.trades_of(_stream(spark, d, "events")), 600)).select("ticker", "at", F.round(F.col("mean") + 1e-9, 4).alias("mean"))
+
+
+@query("stream_session_switch", f"""WITH {fx.TRADES}, w AS (SELECT *, unnest([1, 2, 3]) AS k FROM trades), e AS (SELECT *, CAST((floor(epoch_us(ts) / 600000000) + k) * 600000 AS BIGINT) AS ms FROM w),
+s AS (SELECT ticker, simulated, ms, round(avg(price) + 1e-9, 4) AS price_mean, count(*) AS n, make_timestamp(ms * 1000) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS l FROM e WHERE ms <= {_CLOSED} GROUP BY ticker, simulated, ms),
+o AS (SELECT *, NOT (hour(l) * 60 + minute(l) >= 570 AND hour(l) < 16 AND isodow(l) < 6) AS outside FROM s) SELECT ticker, ms * 1000 AS at_us, price_mean, n, outside AS simulated FROM o WHERE simulated = outside""")
+def session_switch(spark, d):
+    out = _run(jobs.session_switched(fx.trades_of(_stream(spark, d, "events")), "30 minutes", "10 minutes"))
+    return out.select("ticker", micros("at").alias("at_us"), F.round(F.col("price_mean") + 1e-9, 4).alias("price_mean"), "n", F.col("is_simulated_prediction").alias("simulated"))
+
+
+@query("stream_context", f"WITH {fx.TRADES}, {CONTEXT} SELECT t.event_id, t.price, coalesce(c.cpi, 0) AS cpi, coalesce(c.ffr, 0) AS ffr FROM trades t ASOF JOIN context c ON t.ts >= c.ts")
+def stream_context(spark, d):
+    """Each micro-batch with the newest context at its rows' times, into a store."""
+    path = f"{_root(spark)}/rows"
+    trades = fx.trades_of(_stream(spark, d, "events")).select("event_id", "ticker", "ts", "price")
+    _each(trades, jobs.with_context(trades, lambda: context_of(spark, d), ["cpi", "ffr"], lambda df: df.write.mode("append").parquet(path)))
+    return spark.read.parquet(path).select("event_id", "price", "cpi", "ffr")
+
+
+@query("stream_routed", f"WITH {fx.TRADES} SELECT event_id, simulated AS routed FROM trades")
+def routed(spark, d):
+    """Rows to one of two sinks by a predicate."""
+    root = _root(spark)
+    sinks_ = {k: (F.col("simulated") == (k == "simulated"), lambda df, k=k: df.write.mode("append").parquet(f"{root}/{k}")) for k in ("real", "simulated")}
+    trades = fx.trades_of(_stream(spark, d, "events")).select("event_id", "simulated")
+    _each(trades, jobs.routed(sinks_))
+    return spark.read.parquet(f"{root}/real", f"{root}/simulated").select("event_id", F.col("simulated").alias("routed"))
+
+
+@query("stream_buffered", f"WITH {fx.TRADES} SELECT event_id, price FROM trades")
+def buffered(spark, d):
+    """Rows held back while the dimensions are not there, which they are when the stream ends, and replayed then."""
+    root = _root(spark)
+    trades = fx.trades_of(_stream(spark, d, "events")).select("event_id", "price")
+    seen = []
+
+    def sink(df, batch_id):
+        df.select("event_id", "price").write.mode("append").parquet(f"{root}/rows")
+
+    def ready():
+        seen.append(1)
+        return len(seen) > 1
+
+    _each(trades, jobs.buffered(spark, f"{root}/buffer", ready, sink))
+    jobs.flush_buffer(spark, f"{root}/buffer", trades.schema, ready, sink)
+    return spark.read.parquet(f"{root}/rows")
+
+
+@query("stream_macro_changes", f"""WITH m AS (SELECT CASE user_id % 3 WHEN 0 THEN 'cpi' WHEN 1 THEN 'ffr' ELSE 't2y' END AS series, ts, event_id, round(value / 100) AS value FROM events),
+n AS (SELECT series, ts, arg_max(value, event_id) AS value FROM m GROUP BY 1, 2), c AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts) AS before FROM n) SELECT series, epoch_us(ts) AS us, value FROM c WHERE before IS NULL OR before != value""")
+def macro_changes(spark, d):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    e = _stream(spark, d, "events")
+    series = F.element_at(F.array(F.lit("cpi"), F.lit("ffr"), F.lit("t2y")), (F.col("user_id") % 3 + 1).cast("int"))
+    rows = e.select(series.alias("series"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") / 100).alias("value"))
+    return _run(jobs.macro_changes(rows)).select("series", micros("ts").alias("us"), "value")
+
+
+@query("stream_topic", f"WITH {fx.TRADES} SELECT event_id, ticker, price FROM trades")
+def topic(spark, d):
+    """Trades written as JSON records to a topic and read back from it, both as streams."""
+    root = _root(spark)
+    trades = fx.trades_of(_stream(spark, d, "events")).select("event_id", "ticker", "price")
+    writer = sinks.write_records(trades, {"format": "text", "path": f"{root}/topic"}, "ticker")
+    writer.option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    return _run(readers.read_records(spark, {"format": "text", "path": f"{root}/topic"}, "event_id long, ticker string, price double", streaming=True))
+
+
+@query("stream_sentiment", f"""WITH {fx.POSTS}, p AS (SELECT *, {_TICKER} AS ticker, CAST(length(text) % 7 AS DOUBLE) AS score FROM posts WHERE text IS NOT NULL), w AS (SELECT *, unnest(generate_series(1, 12)) AS k FROM p),
+e AS (SELECT *, CAST((floor(epoch_us(ts) / 600000000) + k) * 600000 AS BIGINT) AS ms FROM w) SELECT ticker, social, ms * 1000 AS at_us, round(avg(score) + 1e-9, 4) AS mean, CAST(count(*) AS BIGINT) AS n FROM e WHERE ms <= (SELECT epoch_ms(max(ts)) - 600000 FROM p) GROUP BY 1, 2, 3""")
+def stream_sentiment(spark, d):
+    posts = fx.with_tickers(fx.posts_of(_stream(spark, d, "documents"))).filter("text is not null").select("ts", "social", F.col("ticker")[0].alias("ticker"), (F.length("text") % 7).cast("double").alias("sentiment_score"))
+    return _run(jobs.horizon_means(posts, "2 hours", "10 minutes")).select("ticker", "social", micros("at").alias("at_us"), F.round(F.col("mean") + 1e-9, 4).alias("mean"), "n")

@@ -21,7 +21,7 @@ def keyword_dim(spark, d):
 @query("keyword_match", f"WITH {_KEYWORDS} SELECT doc_id, item_id FROM documents d JOIN kw ON contains(lower(d.text), keyword)")
 def keyword_match(spark, d):
     kw = fx.table(spark, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 25)).alias("keyword"))
-    return text.keyword_match(fx.table(spark, d, "documents"), kw).select("doc_id", "item_id")
+    return text.keyword_match(fx.table(spark, d, "documents"), kw, key="doc_id").select("doc_id", "item_id")
 
 
 _TAGGED = "d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '$click and $ViewS ' WHEN doc_id % 7 = 0 THEN '$errorx ' ELSE '' END || text AS text FROM documents)"
@@ -107,7 +107,7 @@ def finance(spark, d):
 
 @query("scored_posts", f"WITH {fx.POSTS}, {_SCORED}, {_KEYWORDS}, h AS (SELECT p.id, count(*) AS n FROM posts p JOIN kw ON contains(lower(p.text), keyword) GROUP BY 1) SELECT s.id, s.score AS sentiment_score, h.n AS n_keywords FROM scored s JOIN h ON h.id = s.id")
 def scored_posts(spark, d):
-    kw = fx.table(spark, d, "benchmark").select(F.lower(F.substring("text", 1, 25)).alias("keyword"))
+    kw = fx.table(spark, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 25)).alias("keyword"))
     hits = text.keyword_match(fx.posts(spark, d).select("id", "text"), kw).groupBy("id").agg(F.count("*").alias("n_keywords"))
     return _scored(spark, d).join(hits, "id").select("id", "sentiment_score", "n_keywords")
 
@@ -127,3 +127,26 @@ def parse_times(spark, d):
     rows = fx.table(spark, d, "documents").select("doc_id", raw.alias("raw"))
     iso = times.parse_ts(F.regexp_replace("raw", r"\.\d+", ""))
     return rows.select("doc_id", times.parse_post_ts("raw", F.lit("1970-01-01").cast("timestamp")).alias("post"), F.unix_seconds(iso).alias("epoch"), times.month_label(iso).alias("month"))
+
+
+@query("json_scalars", "SELECT doc_id, TRY_CAST(CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 3 = 1 THEN 'true' ELSE doc_id || 'x' END AS DOUBLE) AS value FROM documents WHERE doc_id % 3 != 1 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 3 = 1")
+def json_scalars(spark, d):
+    key = F.col("doc_id")
+    raw = F.when(key % 3 == 0, key.cast("string")).when(key % 3 == 1, "true").otherwise(F.concat(key.cast("string"), F.lit("x")))
+    return fx.table(spark, d, "documents").select("doc_id", numbers.json_scalar(raw).alias("value"))
+
+
+@query("epoch_times", "SELECT event_id, (1704067200 + event_id * 61) * 1000000 AS us FROM events")
+def epoch_times(spark, d):
+    return fx.table(spark, d, "events").select("event_id", times.micros(times.from_epoch(F.lit(1704067200) + F.col("event_id") * 61)).alias("us"))
+
+
+@query("bare_ticker_tags", rf"""WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'an error, a View ' ELSE '' END AS text FROM documents),
+t AS (SELECT doc_id, list_sort(list_distinct(list_concat(list_intersect(regexp_extract_all(upper(text), '\b([A-Z]{{1,5}})\b', 1), {_KNOWN}), CASE WHEN doc_id % 5 = 0 THEN ['REQUESTED'] ELSE [] END))) AS l FROM d)
+SELECT doc_id, CASE WHEN len(l) = 0 THEN 'GENERAL' ELSE array_to_string(l, ',') END AS tickers FROM t""")
+def bare_tags(spark, d):
+    """Bare symbols of a headline, with the ticker that was asked for."""
+    key = F.col("doc_id")
+    docs = fx.table(spark, d, "documents").select("doc_id", F.when(key % 3 == 0, "an error, a View ").otherwise("").alias("text"))
+    asked = F.when(key % 5 == 0, F.array(F.lit("REQUESTED"))).otherwise(F.array().cast("array<string>"))
+    return text.tag_tickers(docs, "text", [], list(fx.TICKERS), bare=True, extra=asked).select("doc_id", F.array_join("tickers", ",").alias("tickers"))

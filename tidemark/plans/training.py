@@ -45,6 +45,16 @@ def sequences(spark, d):
     return out.select("event_id", F.col("sequence")[0][0].alias("x0"), F.col("sequence")[4][0].alias("x4"), "label")
 
 
+@query("training_frame", f"""WITH {fx.TRADES}, {fx.BARS}, b AS (SELECT symbol AS ticker, ts, open, volume, close, CAST(epoch_us(ts) // 60000000 AS BIGINT) AS minute FROM bars WHERE open IS NOT NULL AND volume IS NOT NULL AND close IS NOT NULL),
+m AS (SELECT ticker, min(open) AS lo, max(open) AS ho, min(volume) AS lv, max(volume) AS hv FROM b GROUP BY 1), x AS (SELECT ticker, ts, minute, close, (open - lo) / CASE WHEN ho = lo THEN 1 ELSE ho - lo END AS o, (volume - lv) / CASE WHEN hv = lv THEN 1 ELSE hv - lv END AS v FROM b JOIN m USING (ticker)),
+s AS (SELECT ticker, minute, list(o) OVER w AS o, list(v) OVER w AS v, lead(close) OVER (PARTITION BY ticker ORDER BY ts) AS label FROM x WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+SELECT ticker, minute, round(o[1] + 1e-9, 6) AS first_open, round(v[5] + 1e-9, 6) AS last_volume, label, (minute * 7919) % 100 < 80 AS is_train FROM s WHERE len(o) = 5 AND label IS NOT NULL""")
+def frame_of_bars(spark, d):
+    bars = fx.bars(spark, d).withColumnRenamed("symbol", "ticker").withColumn("minute", F.floor(micros("ts") / 60_000_000).cast("long"))
+    out = training.training_frame(bars, ["open", "volume"], "close", "ts", "minute")
+    return out.select("ticker", "minute", F.round(F.col("sequence")[0][0] + 1e-9, 6).alias("first_open"), F.round(F.col("sequence")[4][1] + 1e-9, 6).alias("last_volume"), "label", "is_train")
+
+
 @query("key_feature_sequence", f"WITH {fx.TRADES}, {_SEQ} SELECT event_id, array_to_string(list_transform(p, lambda x: CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR)), ',') AS keys FROM s WHERE len(p) = 5 AND label IS NOT NULL AND n >= 6")
 def key_sequence(spark, d):
     out = training.training_sequences(fx.trades(spark, d), ["size", "price"], "price", "ts")

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 DELAY = "10 minutes"
 
 
-def sliding_features(trades: DataFrame, width: str, slide: str = "10 seconds", delay: str = DELAY) -> DataFrame:
-    """Mean, deviation and total of each ticker over [T - width, T) for every T on the slide."""
+def sliding_features(trades: DataFrame, width: str, slide: str = "10 seconds", delay: str = DELAY, by: tuple[str, ...] = ("ticker",)) -> DataFrame:
+    """Mean, deviation and total of each ticker (or of `by`) over [T - width, T) for every T on the slide."""
     return (
         trades.withWatermark("ts", delay)
-        .groupBy(F.window("ts", width, slide).alias("w"), "ticker")
+        .groupBy(F.window("ts", width, slide).alias("w"), *by)
         .agg(F.avg("price").alias("price_mean"), F.coalesce(F.stddev_pop("price"), F.lit(0.0)).alias("price_std"), F.sum("size").alias("size_tot"), F.count("*").alias("n"))
-        .select("ticker", F.col("w.end").alias("at"), "price_mean", "price_std", "size_tot", "n")
+        .select(*by, F.col("w.end").alias("at"), "price_mean", "price_std", "size_tot", "n")
     )
 
 
@@ -31,6 +32,20 @@ def partial_sums(trades: DataFrame, step: str = "10 seconds", delay: str = DELAY
     )
 
 
+def horizon_means(scores: DataFrame, horizon: str, step: str = "10 seconds", delay: str = DELAY) -> DataFrame:
+    """Mean sentiment_score of each ticker and social over [T - horizon, T) for every T on the step: sums a step first, and the long windows read those."""
+    keys = ["ticker", "social"]
+    sums = scores.withWatermark("ts", delay).groupBy(F.window("ts", step).alias("s"), *keys).agg(F.sum("sentiment_score").alias("x"), F.count("*").alias("n"))
+    return sums.groupBy(F.window(F.window_time("s"), horizon, step).alias("w"), *keys).agg(F.sum("x").alias("x"), F.sum("n").alias("n")).select(*keys, F.col("w.end").alias("at"), (F.col("x") / F.col("n")).alias("mean"), "n")
+
+
+def session_switched(trades: DataFrame, width: str, slide: str = "10 seconds", delay: str = DELAY) -> DataFrame:
+    """Sliding features of real trades at instants in the session, and of simulated ones at those outside."""
+    from ..operators.features import switch_by_session
+
+    return switch_by_session(sliding_features(trades, width, slide, delay, ("ticker", "simulated")).withColumnRenamed("at", "ts")).withColumnRenamed("ts", "at")
+
+
 def spikes(trades: DataFrame, threshold: float, width: str = "1 minute", delay: str = DELAY) -> DataFrame:
     from ..operators.features import price_spikes
 
@@ -70,6 +85,49 @@ def routed(routes: dict[str, tuple[Column, Callable[[DataFrame], None]]]) -> Cal
     return write
 
 
+def buffered(spark: SparkSession, path: str, ready: Callable[[], bool], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: micro-batches are held below `path` until `ready()`, then all go to the sink with the first batch that finds it so, in order of arrival by `_batch`.
+
+    A batch that is run again replaces itself, and what has been replayed is marked, so a restart neither loses nor repeats a batch. After the last batch, `flush_buffer` replays what is still held.
+    """
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        if not _exists(spark, f"{path}/replayed-by/_SUCCESS") and not ready():
+            df.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/held/batch={batch_id}")
+            return
+        held = _held(spark, path, df.schema, batch_id)
+        sink((held.unionByName(df.withColumn("_batch", F.lit(batch_id))) if held is not None else df.withColumn("_batch", F.lit(batch_id))).drop("batch"), batch_id)
+        if held is not None:
+            spark.range(1).select(F.lit(batch_id).alias("batch_id")).write.mode("overwrite").parquet(f"{path}/replayed-by")
+
+    return write
+
+
+def flush_buffer(spark: SparkSession, path: str, schema: StructType, ready: Callable[[], bool], sink: Callable[[DataFrame, int], None]) -> bool:
+    """What is held when the stream has ended goes to the sink, if it is ready; whether it did."""
+    held = _held(spark, path, schema, -1)
+    if held is None or not ready():
+        return False
+    sink(held, -1)
+    spark.range(1).select(F.lit(-1).alias("batch_id")).write.mode("overwrite").parquet(f"{path}/replayed-by")
+    return True
+
+
+def _held(spark: SparkSession, path: str, schema: StructType, batch_id: int) -> DataFrame | None:
+    """The batches held, unless another batch has replayed them."""
+    if not _exists(spark, f"{path}/held"):
+        return None
+    if _exists(spark, f"{path}/replayed-by/_SUCCESS") and spark.read.parquet(f"{path}/replayed-by").first()[0] != batch_id:
+        return None
+    wide = StructType([*schema.fields, StructField("_batch", IntegerType())])
+    return spark.read.schema(wide).option("basePath", f"{path}/held").parquet(f"{path}/held").select(*wide.names)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def _frame(rows: list[tuple], columns: list[str]):
     """Rows for the JVM; text as plain objects."""
     import pandas as pd
@@ -82,7 +140,8 @@ def _frame(rows: list[tuple], columns: list[str]):
 class GridMeans(StatefulProcessor):
     """A ticker's mean at every grid instant from its first trade on: of the cell before it, carried over quiet cells.
 
-    State is a sum for each open cell and the last mean; an event-time timer for each instant closes cells as the watermark passes.
+    State is a sum for each open cell and the last mean; an event-time timer for each instant closes cells as the watermark passes. Late rows go.
+    A mean is carried for at most `idle` seconds after the last cell with a trade, and over the whole gap once a trade follows.
     """
 
     def __init__(self, step: int = 10, idle: int = 3600):
@@ -96,11 +155,17 @@ class GridMeans(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         for part in rows:
             cells = (part["us"] // (self.step * 1_000_000)).astype("int64")
-            for cell, price in zip(cells, part["price"]):
+            # Rows of cells that have been told are late, and go.
+            upto = self.last.get()[1] if self.last.exists() else None
+            made = part["price"].groupby(cells).agg(["sum", "count"])
+            made = made if upto is None else made[made.index >= upto]
+            if not len(made):
+                continue
+            for cell, total, count in zip(made.index, made["sum"], made["count"]):
                 k = (int(cell),)
                 x, n = self.cells.getValue(k) if self.cells.containsKey(k) else (0.0, 0)
-                self.cells.updateValue(k, (x + float(price), n + 1))
-            low, high = int(cells.min()), int(cells.max())
+                self.cells.updateValue(k, (x + float(total), n + int(count)))
+            low, high = int(made.index.min()), int(made.index.max())
             if self.last.exists():
                 mean, upto, seen = self.last.get()
                 self.last.update((mean, upto, max(seen, high)))
