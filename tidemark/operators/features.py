@@ -15,19 +15,35 @@ WINDOWS = {"1min": 60, "5min": 300, "30min": 1800}
 def trailing_features(df: DataFrame, windows: dict[str, int] = WINDOWS, price: str = "price", size: str = "size") -> DataFrame:
     """Mean, population deviation and total over [t - w, t], both ends closed, within the ticker's ISO week.
 
-    All windows share one partitioning and one sort, so the plan has a single exchange.
+    A row adds to running sums at its time, and leaves those of each window by a row of its own after t + w, so a row costs the same however many
+    others a window holds. All windows share one partitioning and one sort. Prices enter as decimals of 9 places, less their mean in the week, so
+    sums are exact and what has left leaves nothing behind.
     """
-    base = W.partitionBy("ticker", "isoyear", "isoweek").orderBy("us")
+    by = W.partitionBy("ticker", "isoyear", "isoweek")
     df = df.withColumn("isoyear", iso_year("ts")).withColumn("isoweek", F.weekofyear("ts")).withColumn("us", micros("ts"))
+    keys = ["ticker", "isoyear", "isoweek"]
+    middle = F.avg(price).over(by).cast("decimal(18,9)")
+    rows = df.select(*keys, "us", F.struct(*df.columns).alias("row"), middle.alias("middle"), F.col(size).cast("double").alias("v"), (F.col(price).cast("decimal(18,9)") - middle).cast("decimal(18,9)").alias("x"))
+    leave = F.array(F.struct(F.lit(None).cast("string").alias("window"), F.lit(0).alias("after")), *[F.struct(F.lit(name).alias("window"), F.lit(seconds * SECOND).alias("after")) for name, seconds in windows.items()])
+    both = rows.withColumn("gone", F.explode(leave)).select(*keys, (F.col("us") + F.col("gone.after")).alias("us"), F.col("gone.window").alias("window"), F.when(F.col("gone.window").isNull(), F.col("row")).alias("row"), "middle", "v", "x")
+    # Rows come before what leaves at the same time: windows are closed.
+    running = by.orderBy("us", F.col("window").isNotNull()).rangeBetween(W.unboundedPreceding, W.currentRow)
     made = []
-    for name, seconds in windows.items():
-        frame = base.rangeBetween(-seconds * SECOND, 0)
-        made += [
-            F.avg(price).over(frame).alias(f"price_mean_{name}"),
-            F.coalesce(F.stddev_pop(price).over(frame), F.lit(0.0)).alias(f"price_std_{name}"),
-            F.coalesce(F.sum(size).over(frame), F.lit(0.0)).alias(f"size_tot_{name}"),
+    for name in windows:
+        sign = F.when(F.col("window").isNull(), 1).when(F.col("window") == name, -1)
+        total = [F.sum(F.when(F.col("x").isNotNull(), sign)).over(running), F.sum(F.col("x") * sign).over(running), F.sum((F.col("x") * F.col("x")).cast("decimal(36,18)") * sign).over(running), F.sum(F.col("v") * sign).over(running)]
+        made.append(F.struct(*[c.alias(k) for c, k in zip(total, ("n", "x", "xx", "v"))]).alias(f"sums_{name}"))
+    sums = both.select("row", "middle", *made).filter("row is not null")
+    out = []
+    for name in windows:
+        n, x, xx, v = (F.col(f"sums_{name}.{k}") for k in ("n", "x", "xx", "v"))
+        mean = x.cast("double") / n
+        out += [
+            F.when(n > 0, (x + F.col("middle") * n).cast("double") / n).alias(f"price_mean_{name}"),
+            F.when(n > 0, F.sqrt(F.greatest(xx.cast("double") / n - mean * mean, F.lit(0.0)))).otherwise(0.0).alias(f"price_std_{name}"),
+            F.coalesce(v, F.lit(0.0)).alias(f"size_tot_{name}"),
         ]
-    return df.select("*", *made)
+    return sums.select("row.*", *out)
 
 
 def grid_features(trades: DataFrame, step: int, windows: dict[str, int], keys: tuple[str, ...] = ("ticker", "simulated")) -> DataFrame:
