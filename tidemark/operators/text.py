@@ -102,12 +102,19 @@ def lexicon(text: Column) -> Column:
     return _let(_let(words, counts), lambda c: F.struct((c.up / c.total).alias("positive"), ((c.total - c.up - c.down) / c.total).alias("neutral"), (c.down / c.total).alias("negative")))
 
 
-def model_scorer(logits: Callable, name: str = "logits") -> Callable[[Column], Column]:
-    """A scorer that asks a model: `logits` takes an iterator of pandas Series of texts and yields one array of three logits (positive, neutral, negative) a text."""
-    from ..functions.numbers import softmax
+def model_scorer(logits: Callable) -> Callable[[Column], Column]:
+    """A scorer that asks a model: `logits` takes an iterator of pandas Series of texts and yields for each an array of three logits (positive, neutral, negative) a text."""
 
-    ask = F.pandas_udf(logits, "array<double>", F.PandasUDFType.SCALAR_ITER)
-    return lambda text: _let(softmax(ask(text)), lambda p: F.struct(p[0].alias("positive"), p[1].alias("neutral"), p[2].alias("negative")))
+    def probabilities(parts):
+        import numpy as np
+        import pandas as pd
+
+        for made in logits(parts):
+            raised = np.stack([np.asarray(x, float) for x in made]) if len(made) else np.zeros((0, 3))
+            raised = np.exp(raised - raised.max(axis=1, keepdims=True, initial=-np.inf))
+            yield pd.DataFrame(raised / raised.sum(axis=1, keepdims=True), columns=["positive", "neutral", "negative"])
+
+    return F.pandas_udf(probabilities, "positive double, neutral double, negative double", F.PandasUDFType.SCALAR_ITER)
 
 
 def score_text(df: DataFrame, text: str, scorer: Callable[[Column], Column] = lexicon) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,23 +45,51 @@ def create_table(spark: SparkSession, name: str, schema: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet")
 
 
-def upsert(new: DataFrame, path: str, keys: list[str], order: str) -> None:
-    """Insert or replace rows of a Parquet store by key, last write wins. The new state goes beside the old, then takes its place as a version folder."""
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a function that makes its paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _newest(spark: SparkSession, path: str) -> dict[int, int]:
+    """The newest version of each bucket of an upsert store."""
+    fs, make = _files(spark, path)
+    out = {}
+    for bucket in fs.listStatus(make(path)) if fs.exists(make(path)) else []:
+        name = bucket.getPath().getName()
+        if name.startswith("b"):
+            out[int(name[1:])] = max((int(v.getPath().getName()[1:]) for v in fs.listStatus(bucket.getPath())), default=-1)
+    return {b: v for b, v in out.items() if v >= 0}
+
+
+def upsert(new: DataFrame, path: str, keys: list[str], order: str, buckets: int = 16) -> None:
+    """Insert or replace rows of a Parquet store by key, last write wins.
+
+    Keys are dealt into buckets by hash, and only buckets that have new rows are merged and written, beside what is there; each then takes its place at once by a
+    rename, as the bucket's next version. The version before stays for readers, older ones go. A bucket that another writer has moved on meanwhile is an error, and
+    a batch that was cut off between buckets is whole once it is run again.
+    """
     spark = new.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("v")) if fs.exists(hadoop) else []
-    versions = [v for v in versions if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{v}/_SUCCESS"))]
-    merged = upsert_rows(spark.read.parquet(f"{path}/v{versions[-1]}"), new, keys, order) if versions else dedupe(new, keys, F.col(order), last=True)
-    merged.write.mode("overwrite").parquet(f"{path}/v{versions[-1] + 1 if versions else 0}")
+    fs, make = _files(spark, path)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    touched = sorted(r[0] for r in new.select(bucket).distinct().collect())
+    held = _newest(spark, path)
+    old = [f"{path}/b{b}/v{held[b]}" for b in touched if b in held]
+    merged = upsert_rows(spark.read.parquet(*old), new, keys, order) if old else dedupe(new, keys, F.col(order), last=True)
+    stage = f"{path}/_stage-{uuid.uuid4().hex}"
+    merged.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(stage)
+    for b in touched:
+        version = held.get(b, -1) + 1
+        fs.mkdirs(make(f"{path}/b{b}"))
+        if fs.exists(make(f"{path}/b{b}/v{version}")) or not fs.rename(make(f"{stage}/_bucket={b}"), make(f"{path}/b{b}/v{version}")):
+            raise RuntimeError(f"bucket {b} of {path} was written by another writer")
+        fs.delete(make(f"{path}/b{b}/v{version - 2}"), True)
+    fs.delete(make(stage), True)
 
 
 def upserted(spark: SparkSession, path: str) -> DataFrame:
-    """The newest whole version of an upsert store."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    whole = [s.getPath() for s in fs.listStatus(hadoop) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(str(max(whole, key=lambda p: int(p.getName()[1:])).toString()))
+    """The newest version of all buckets of an upsert store."""
+    return spark.read.parquet(*[f"{path}/b{b}/v{v}" for b, v in sorted(_newest(spark, path).items())])
 
 
 def upsert_batch(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
@@ -72,11 +101,14 @@ def write_records(df: DataFrame, sink: dict, key: str | None = None) -> DataStre
     """The rows as JSON records: to Kafka with the key, to text files, or to the console. For a stream the writer is returned, to be started."""
     value = F.to_json(F.struct(*df.columns)).alias("value")
     out = df.select(value, *([F.col(key).cast("string").alias("key")] if key and sink["format"] == "kafka" else []))
+    if sink["format"] == "console" and not df.isStreaming:
+        df.show(truncate=False)
+        return None
     writer = out.writeStream if df.isStreaming else out.write
     if sink["format"] == "kafka":
         writer = writer.format("kafka").option("kafka.bootstrap.servers", sink["servers"]).option("topic", sink["topic"])
     elif sink["format"] == "console":
-        writer = df.writeStream.format("console") if df.isStreaming else writer
+        writer = df.writeStream.format("console")
     else:
         writer = writer.format("text").option("path", sink["path"])
     if df.isStreaming:
