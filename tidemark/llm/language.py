@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .shared import by_bytes, identity, only, ship, trimmed
 
-SAMPLE_DOCS, PIECE, TARGET = 32, 2048, 25
+SAMPLE_DOCS, PIECE, TARGET = 16, 2048, 25
 
 
 @cache

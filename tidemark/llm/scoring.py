@@ -11,7 +11,7 @@ A token's probability mixes the add-one unigram probability with the bigram's re
 off the filter by probing levels until one is missing. The bigram's weight depends on the history only: HIT if the
 bigram before it was in the filter, MISS otherwise, so the probabilities of a history sum to at most one.
 
-Null text is empty and scores its end alone. With no training document, N = V = 0 and every token has base probability 1.
+Null text is empty and scores its end alone. Repeated rows count each and are scored each; an empty table gives none; other columns are left out. With no training document, N = V = 0 and every token has base probability 1.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ class _Tokens:
         return (h >> drop) << drop
 
 
-def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES, max_filter_bytes: int = MAX_FILTER_BYTES, bits: int = BITS_AN_ENTRY) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score; `train` tells the rows to learn from."""
     spark = docs.sparkSession
     ship(spark)
@@ -128,7 +128,7 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYT
         keys, which = np.unique(key, return_inverse=True)
         total = np.bincount(which, weights=own).astype(np.int64)
         out = [(-1, kind, bucket, b"", int(total.sum()), int((total > 0).sum()))]
-        lev, each, at = filtered(keys, total, kind, max_filter_bytes).astype(np.uint8)[which], total[which].astype("<i8"), 0
+        lev, each, at = filtered(keys, total, kind, max_filter_bytes, bits).astype(np.uint8)[which], total[which].astype("<i8"), 0
         for b, n in zip(block, lengths):
             counted = each[at : at + n].tobytes() if kind == UNIGRAM else b""
             out.append((b, kind, bucket, lev[at : at + n].tobytes() + counted, n, 0))
@@ -178,16 +178,16 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_TYPES)], names=[n for n, _ in _TYPES])
 
 
-def filtered(keys: np.ndarray, counts: np.ndarray, kind: int, most: int) -> np.ndarray:
+def filtered(keys: np.ndarray, counts: np.ndarray, kind: int, most: int, entry: int = BITS_AN_ENTRY) -> np.ndarray:
     """The level of each sorted distinct key that a filter of all keys with a count tells; slices of `most` bytes (one key's at least), each of a range of keys."""
     lev = np.zeros(len(keys), np.int64)
     lev[counts > 0] = level(counts[counts > 0])
-    part = np.maximum(np.cumsum(lev) - 1, 0) // max(1, 8 * most // BITS_AN_ENTRY)
+    part = np.maximum(np.cumsum(lev) - 1, 0) // max(1, 8 * most // entry)
     firsts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
     out = np.zeros(len(keys), np.int64)
     for a, b in zip(firsts, firsts[1:]):
         own, up = keys[a:b], lev[a:b]
-        width = max(64, int(up.sum()) * BITS_AN_ENTRY + 7 & ~7)
+        width = max(64, int(up.sum()) * entry + 7 & ~7)
         bits = np.zeros(width, bool)
         for k in range(1, int(up.max(initial=0)) + 1):
             for p in Filter.places(own[up >= k], kind, k, width):
