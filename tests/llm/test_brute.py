@@ -28,7 +28,7 @@ def test_placement_equals_brute_force(docs, edge):  # noqa: F811
         left = [[1.0] * 3 for _ in range(shards)]
         for key in sorted(sums, key=lambda k: (-sums[k][0] / whole[0], k)):
             need = [sums[key][k] / whole[k] for k in range(3)]
-            fits = [s for s in range(shards) if left[s][0] >= need[0]]
+            fits = [s for s in range(shards) if all(a >= b for a, b in zip(left[s], need))] or [s for s in range(shards) if left[s][0] >= need[0]]
             best = max(fits, key=lambda s: (np.dot(left[s], need), -s)) if fits else max(range(shards), key=lambda s: (left[s][0], -s))
             best = where[key] if best != where[key] and abs(np.dot(left[best], need) - np.dot(left[where[key]], need)) < 1e-9 else best
             assert where[key] == best
@@ -154,3 +154,11 @@ def test_licences_equal_brute_force(spark, middle):
             assert got[file]["own"] == (best[1] if best[0] >= licenses.THRESHOLD else None), file
             assert got[file]["similarity"] is None if got[file]["own"] is None else math.isclose(got[file]["similarity"], best[0], abs_tol=1e-9)
     assert found > 4 and [got[10_000_000 + i]["own"] for i in (1, 2, 3, 4, 5)] == ["MIT", "Apache-2.0", "MIT", None, "BSD-3-Clause"]
+
+
+def test_what_is_written_can_be_cleared(spark):
+    from tidemark.llm import shared
+
+    path = shared.written(spark.range(3), "some").inputFiles()[0]
+    assert shared.clear_written(spark) >= 1 and shared.clear_written(spark) == 0
+    assert not spark.sparkContext._jvm.java.io.File(path.removeprefix("file://")).exists()

@@ -27,12 +27,14 @@ HOT = 2
 
 
 def place(vectors: np.ndarray, shards: int) -> list[int]:
-    """A shard for each vector: highest dot product with the residual capacity, where the first component fits; else where most of it is left."""
+    """A shard for each vector: highest dot product with the residual capacity, where all components fit, else where the first does; else where most of that is left."""
     demand = vectors / np.maximum(vectors.sum(axis=0) / shards, 1e-9)
     residual = np.ones((shards, vectors.shape[1]))
     chosen = [0] * len(vectors)
     for i in np.argsort(-demand[:, 0], kind="stable"):
-        fits = residual[:, 0] >= demand[i, 0]
+        fits = (residual >= demand[i]).all(axis=1)
+        if not fits.any():
+            fits = residual[:, 0] >= demand[i, 0]
         if fits.any():
             s = int(np.argmax(np.where(fits, residual @ demand[i], -np.inf)))
         else:
