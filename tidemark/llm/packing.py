@@ -235,7 +235,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, nodes:
     """`pieces` (with doc_id, piece, length and any other columns, whatever their names) with sequence_id and offset."""
     spark = pieces.sparkSession
     kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(pieces.columns)]
-    salted = pieces.select("doc_id", "piece", "length", *[c for c in ("ids_crc32", "start") if c in pieces.columns], F.struct(*kept).alias("kept")).withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "doc_id", "piece"), F.when(F.col("length") == capacity, F.lit(16 * salts)).otherwise(F.lit(salts))).cast("int"))
+    salted = pieces.select("doc_id", "piece", "length", *[c for c in ("ids_crc32", "start") if c in pieces.columns], F.struct(*kept).alias("kept")).withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "doc_id", "piece", *[c for c in ("ids_crc32", "start") if c in pieces.columns]), F.when(F.col("length") == capacity, F.lit(16 * salts)).otherwise(F.lit(salts))).cast("int"))
     # At most `salts` rows a length, and 16 times that for full ones; only the lengths' counts go to the driver.
     counted = written(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
     made = plan({int(r["length"]): int(r["n"]) for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity, nodes)

@@ -101,9 +101,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Delete what `written` has left in the shared folder, once no result that was made of it is needed; how many tables."""
+    hadoop, n = spark.sparkContext._jvm.org.apache.hadoop.fs, len(_written)
+    while _written:
+        place = hadoop.Path(_written.pop())
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return n
+
+
 def identity(docs: DataFrame) -> DataFrame:
     """doc_id as long, text as UTF-8 bytes (null: empty), and all other columns in one struct `rest`, so none can clash; all nullable, as tasks return them."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
