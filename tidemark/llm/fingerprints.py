@@ -7,7 +7,7 @@ also keeps its `floor` least hashes, so that short texts compare exactly: its sk
 space if it has no more. Two sketches are compared below the lower of their reaches.
 
 A fingerprint is text: the hashes in ascending order, base64 of big-endian 64-bit integers, after `*` if the sketch holds all shingles.
-Null is empty; an empty text has the fingerprint `*`. Two texts without words have likeness 1.
+Null is empty; an empty text has the fingerprint `*`. Two texts without words have likeness 1. A text is sketched whole, however long; other columns are left out.
 
 The next document is the one after in descending order of doc_id (null last; rows of one doc_id by text), after the last the first.
 """
@@ -124,7 +124,7 @@ def compare_with_next(docs: DataFrame, fraction: int = FRACTION, floor: int = FL
     above = spark.createDataFrame([(tops[p], order[(k + 1) % len(order)]) for k, p in enumerate(order)], "doc_id long, part int")
     carried = rows.alias("r").join(F.broadcast(above.alias("a")), F.col("r.doc_id").eqNullSafe(F.col("a.doc_id"))).select("r.doc_id", "text", F.col("a.part"))
     both = spread.withColumn("carried", F.lit(0)).unionByName(carried.withColumn("carried", F.lit(1)))
-    streams = both.repartition(max(1, min(len(order), parts)), "part").sortWithinPartitions("part", "carried", F.desc_nulls_last("doc_id"), "text")
+    streams = both.repartitionById(len(bounds) + 2, F.col("part").cast("int")).sortWithinPartitions("part", "carried", F.desc_nulls_last("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[tuple]:
