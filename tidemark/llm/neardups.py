@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
             F.when(F.col("parts") == 1, -1).otherwise(F.least("mine", "other")).alias("low"), F.greatest("mine", "other").alias("high"),
         )
     )
-    texts = base.join(members.select("doc_id", "own"), ["doc_id", "own"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    # By a shuffle at every size: a broadcast of members would be one for small inputs only.
+    texts = base.join(members.select("doc_id", "own").hint("merge"), ["doc_id", "own"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
 
     def verify(table: pa.Table) -> pa.Table:
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
