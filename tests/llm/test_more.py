@@ -121,12 +121,16 @@ def test_license_inheritance_and_edges(spark):
 
 def test_pipeline_stages_equal_brute_force(spark, docs, edge, tmp_path):  # noqa: F811
     """Each stage on its own input, over the small table with edge rows."""
+    short = ["we walk", "OK", "qq", "w1 w2 w3 w4", "x = y + z; i, j, k", "A B C D E F G", "日本語", "日本語 a", "ДА", "1 2 3"]
     table = docs.unionByName(edge.select(docs.columns).withColumn("doc_id", F.col("doc_id") + 10_000))
+    table = table.unionByName(spark.createDataFrame([(20_000 + i, t, None, "s", len(t)) for i, t in enumerate(short)], table.schema))
     (one, two, three, four) = [f for _, f in corpus_pipeline.STAGES]
     first = one(spark, table, "")
     assert first.schema.names == table.schema.names
     kept = Counter((r["doc_id"], r["text"]) for r in rows_of(first))
-    assert kept == Counter((r["doc_id"], r["text"]) for r in rows_of(table) if any(c.isalpha() for c in r["text"] or ""))
+    letters = {c for r in rows_of(table) if r["lang"] for c in (r["text"] or "").lower() if c.isalpha()}
+    assert kept == Counter((r["doc_id"], r["text"]) for r in rows_of(table) if letters & set((r["text"] or "").lower()))
+    assert {d for d, _ in kept if d and d >= 20_000} == {20_000 + i for i in (0, 1, 2, 3, 4, 5, 7)}
     before = rows_of(first)
     second = two(spark, first, "")
     groups = {(d, c) for (d, c, *_), n in brute_links(before).items()}

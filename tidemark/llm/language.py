@@ -217,22 +217,48 @@ def references(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str,
     return {k: "".join(v).replace("  ", " ") for k, v in out.items() if any(map(str.isalpha, "".join(v)))}
 
 
-def identify(docs: DataFrame, references: dict[str, str]) -> DataFrame:
-    """doc_id, rest (struct of the other columns), text, lang_pred, score, bits (entropy a letter)."""
+def alphabet(labelled: DataFrame) -> str:
+    """Every letter, lower-cased, of every labelled text, in order; there are at most as many as code points."""
+    ship(labelled.sparkSession)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(0x110000, bool)
+        for batch in (part for whole in batches for part in by_bytes(whole)):
+            found[np.frombuffer("".join(t.decode().lower() for t in batch.column("text").to_pylist()).encode("utf-32-le"), "<u4")] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found & _letters()))], ["code"])
+
+    known = identity(labelled.filter("lang is not null and text is not null").select("doc_id", "text")).select("text")
+    return "".join(chr(r["code"]) for r in known.mapInArrow(seen, "code long").distinct().orderBy("code").collect())
+
+
+def identify(docs: DataFrame, references: dict[str, str], letters: str | None = None) -> DataFrame:
+    """doc_id, rest (struct of the other columns), text, lang_pred, score, bits (entropy a letter), n_known (letters of the text that are among `letters`; None: all are)."""
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(references)
-    key = hash(tuple(sorted(references.items())))
+    held = spark.sparkContext.broadcast((references, letters))
+    key = hash((tuple(sorted(references.items())), letters))
+
+    def model() -> tuple[Parser, np.ndarray]:
+        known = np.zeros(0x110000, bool)
+        known[[ord(c) for c in held.value[1] or ""]] = True
+        return Parser(held.value[0]), _letters() if held.value[1] is None else known
+
+    def count(texts: list[str], known: np.ndarray) -> np.ndarray:
+        hit = known[np.frombuffer("".join([t + " " for t in texts]).encode("utf-32-le"), "<u4")]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        return np.diff(np.append(0, np.cumsum(hit)[ends - 1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = only(("parser", key), lambda: Parser(held.value))
+        parser, known = only(("parser", key), model)
         for batch in (part for whole in trimmed(batches) for part in by_bytes(whole)):
-            said, score, bits = parser.predict_all([(t or b"").decode() for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(score), pa.array(bits)], [*batch.schema.names, "lang_pred", "score", "bits"])
+            texts = [(t or b"").decode() for t in batch.column("text").to_pylist()]
+            said, score, bits = parser.predict_all(texts)
+            made = [pa.array(said, pa.string()), pa.array(score), pa.array(bits), pa.array(count([t.lower() for t in texts], known), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "lang_pred", "score", "bits", "n_known"])
 
     rows = identity(docs)
     kind = rows.schema["rest"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id long, text binary, rest {kind}, lang_pred string, score double, bits double")
+    return rows.mapInArrow(run, f"doc_id long, text binary, rest {kind}, lang_pred string, score double, bits double, n_known long")
 
 
 def held_out(folds: int, fold: int) -> Column:
