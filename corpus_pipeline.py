@@ -12,9 +12,6 @@ from tidemark.llm import language, neardups, packing, substrings
 from tidemark.llm.queries import vocabulary
 from tidemark.llm.shared import settle, written
 
-#: Entropy a letter beyond which a text is in none of the languages; known languages cost 2 to 6 bits, an unknown script 16 or more.
-UNKNOWN_BITS = 12.0
-
 
 def _restored(rows: DataFrame, docs: DataFrame, **changed) -> DataFrame:
     """The columns of `docs`, in order, from rows that hold the others in the struct `rest`."""
@@ -23,7 +20,7 @@ def _restored(rows: DataFrame, docs: DataFrame, **changed) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told go: no letter in them, or letters that no labelled text has (over UNKNOWN_BITS each).
+    """Documents without a letter, or without one that some labelled text has, go: nothing can tell their language.
 
     An unknown lang is filled in. Without any labelled text there is nothing to tell by, and all stay.
     """
@@ -31,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = language.references(docs)
     if not known:
         return docs
-    said = language.identify(docs, known).filter((F.col("lang_pred") != "und") & (F.col("bits") <= UNKNOWN_BITS))
+    said = language.identify(docs, known, language.alphabet(docs)).filter("lang_pred != 'und' and n_known > 0")
     return _restored(said, docs, lang=F.coalesce("rest.lang", "lang_pred"))
 
 
