@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, licenses, neardups, packing, pieces, scoring, search, sharding, substrings
+from . import centroids, fingerprints, language, licenses, neardups, packing, pieces, scoring, search, sharding, substrings
 
 
 def vocabulary(name: str) -> str:
@@ -79,6 +79,27 @@ def scoring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def centroids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _centroids_sql(rounds: int = centroids.ROUNDS) -> str:
+    """The same rounds as a chain of tables; whole numbers throughout."""
+    near = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    made = [
+        """k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cluster, v FROM k QUALIFY cluster < 8)",
+    ]
+    for r in range(rounds + 1):
+        made.append(f"a{r} AS MATERIALIZED (SELECT k.vec_id, any_value(k.v) AS v, arg_min(c.cluster, ({near}, c.cluster)) AS cluster, min({near}) AS distance FROM k, c{r} c GROUP BY k.vec_id)")
+        if r < rounds:
+            made.append(f"""u{r} AS (SELECT cluster, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY 1, 2),
+m{r} AS (SELECT cluster, list(m ORDER BY i) AS v FROM u{r} GROUP BY 1), c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m USING (cluster))""")
+    return f"""WITH {", ".join(made)} SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c USING (cluster)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding_query,
@@ -91,8 +112,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": fingerprints_query,
         "op9_search": search_query,
         "op10_scoring": scoring_query,
+        "op13_centroids": centroids_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_centroids": _centroids_sql()}

@@ -98,11 +98,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again, which cuts its lineage and runs it once."""
+    return stored(df, name)[0]
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """What `written` gives, and where it is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that `stored` has written."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _written.remove(path)
 
 
 _written: list[str] = []
@@ -110,10 +122,9 @@ _written: list[str] = []
 
 def clear_written(spark: SparkSession) -> int:
     """Delete what `written` has left in the shared folder, once no result that was made of it is needed; how many tables."""
-    hadoop, n = spark.sparkContext._jvm.org.apache.hadoop.fs, len(_written)
+    n = len(_written)
     while _written:
-        place = hadoop.Path(_written.pop())
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        discard(spark, _written[-1])
     return n
 
 
