@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, fingerprints, language, licenses, neardups, packing, pieces, scoring, search, sharding, substrings
+from . import centroids, fingerprints, language, licenses, neardups, packing, pieces, scoring, search, sharding, substrings, warc
 
 
 def vocabulary(name: str) -> str:
@@ -79,6 +79,18 @@ def scoring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = warc.archive_dir(spark)
+    warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), root)
+    return warc.read_archive(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of the SHA-1: four characters of each five hex digits.
+WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages), h AS (SELECT *, sha1(html) AS h FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((CAST('0x' || substr(h, CAST((i // 4) * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1]), '') AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != first THEN first END AS refers_to FROM h"""
+
+
 def centroids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -112,9 +124,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": fingerprints_query,
         "op9_search": search_query,
         "op10_scoring": scoring_query,
+        "op12_warc": warc_query,
         "op13_centroids": centroids_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_centroids": _centroids_sql()}
+    return {"op12_warc": WARC_SQL, "op13_centroids": _centroids_sql()}
