@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, fingerprints, language, licenses, neardups, packing, pieces, scoring, search, sharding, substrings, warc
+from . import centroids, fingerprints, language, licenses, neardups, packing, pieces, scoring, search, sharding, substrings, treap, warc
 
 
 def vocabulary(name: str) -> str:
@@ -79,6 +79,23 @@ def scoring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def treap_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.top_k(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 50)
+
+
+def _terms_sql(table: str, key: str) -> str:
+    """A row for each term of each text."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT {key}, unnest(regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM {table} WHERE text IS NOT NULL"
+
+
+TREAP_SQL = f"""WITH t AS (SELECT doc_id, term, count(*) AS tf FROM ({_terms_sql("documents", "doc_id")}) GROUP BY 1, 2), q AS (SELECT DISTINCT item_id, term FROM ({_terms_sql("benchmark", "item_id")})),
+s AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY 1), a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM s),
+m AS (SELECT doc_id, 50 + (50 * n * docs) // terms AS m FROM s, a), w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM t, a GROUP BY term, docs),
+f AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM f WHERE score > 0 QUALIFY rank <= 50"""
+
+
 def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = warc.archive_dir(spark)
     warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), root)
@@ -124,10 +141,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": fingerprints_query,
         "op9_search": search_query,
         "op10_scoring": scoring_query,
+        "op11_treap": treap_query,
         "op12_warc": warc_query,
         "op13_centroids": centroids_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_warc": WARC_SQL, "op13_centroids": _centroids_sql()}
+    return {"op11_treap": TREAP_SQL, "op12_warc": WARC_SQL, "op13_centroids": _centroids_sql()}
