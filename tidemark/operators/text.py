@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +15,8 @@ from ..functions.numbers import sentiment_score
 # Words of a small lexicon, the default scorer's.
 POSITIVE = ("gain", "growth", "profit", "rise", "the", "und")
 NEGATIVE = ("loss", "fall", "risk", "drop", "of", "le")
-#: Characters by which a keyword without a whole word inside is looked for, and the most rows of keywords that are broadcast.
-GRAM, BROADCAST = 6, 100_000
+#: Characters of keywords that one automaton holds (some 100 bytes each at most), and the most rows of keywords that are broadcast.
+SLICE_CHARS, BROADCAST = 1 << 21, 100_000
 
 
 def has_keyword(text: Column, keywords: list[str]) -> Column:
@@ -34,28 +37,68 @@ def keyword_dim(companies: DataFrame, static: tuple[tuple[str, str], ...] = ())
     return own.filter(F.length("keyword") > 1).groupBy("keyword").agg(F.max_by("ticker", "ticker_id").alias("ticker"))
 
 
-def keyword_match(texts: DataFrame, keywords: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
-    """Pairs of a text and a keyword in it, as plain substrings; `key` tells texts apart.
+class Automaton:
+    """Which of some keywords a text contains: one Aho-Corasick walk over the text, whatever the number of keywords."""
 
-    Candidates meet by an equality join: a keyword with a whole word inside is looked for by its longest one, another one by its
-    first GRAM characters; then the text is searched. Only keys and parts are exploded, and only parts that some keyword has go on.
+    def __init__(self, keywords: Iterable[str]):
+        import ahocorasick
+
+        self.machine, self.empty = ahocorasick.Automaton(), False
+        for k in keywords:
+            if k:
+                self.machine.add_word(k, k)
+            self.empty |= not k
+        self.machine.make_automaton()
+
+    def found(self, text: str) -> list[str]:
+        """The keywords in the text as plain substrings, in order; the empty one is in every text."""
+        hits = {k for _, k in self.machine.iter(text)} if len(self.machine) else set()
+        return sorted(hits | {""} if self.empty else hits)
+
+
+_held: dict[str, Automaton] = {}
+
+
+def _automaton(name: str, keywords: Callable[[], Iterable[str]]) -> Automaton:
+    """A worker's one automaton; another slice's makes way."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = Automaton(keywords())
+    return _held[name]
+
+
+def keyword_slices(keywords: DataFrame, chars: int = SLICE_CHARS) -> list[DataFrame]:
+    """`keywords` in slices by a hash of the keyword, each of about `chars` characters of different keywords."""
+    size = keywords.select("keyword").distinct().agg(F.sum(F.length("keyword") + 1)).first()[0] or 0
+    n = max(1, -(-size // chars))
+    return [keywords.filter(F.col("keyword").isNotNull() & (F.pmod(F.xxhash64("keyword"), F.lit(n)) == k)) for k in range(n)]
+
+
+def _finder(part: DataFrame) -> Callable[[Column], Column]:
+    """The keywords of a slice that are in a lower-cased text, by an automaton in each worker; the slice is broadcast."""
+    held = part.sparkSession.sparkContext.broadcast([r[0] for r in part.select("keyword").distinct().collect()])
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf("array<string>")
+    def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine = _automaton(name, lambda: held.value)
+        for some in texts:
+            yield some.map(machine.found, na_action="ignore")
+
+    return find
+
+
+def keyword_match(texts: DataFrame, keywords: DataFrame, text: str = "text", chars: int = SLICE_CHARS) -> DataFrame:
+    """Pairs of a text and a keyword in it, as plain substrings of the lower-cased text: all columns of both.
+
+    A text is read once for each slice of keywords, in time linear in its length and hits; only pairs that match leave the workers. A null text or keyword matches nothing.
     """
-    words = F.split("keyword", " ")
-    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w
-    known = keywords.withColumn("_word", longest).withColumn("_part", F.coalesce("_word", F.substring("keyword", 1, GRAM)))
-    size = F.length("_part")
-    lower = F.lower(F.col(text))
-    grams = [r["n"] for r in known.filter("_word is null").select(size.alias("n")).distinct().collect()]  # at most GRAM + 1 lengths
-    parts = F.split(lower, " ")
-    for n in sorted(grams):
-        starts = F.sequence(F.lit(1), F.greatest(F.length(lower) - n + 1, F.lit(1)))
-        parts = F.concat(parts, F.transform(starts, lambda i, n=n: F.substring(lower, i, F.lit(n))))
-    every = known.select("_part").distinct()
-    few = every.limit(BROADCAST + 1).count() <= BROADCAST
-    found = texts.select(key, F.explode(F.array_distinct(parts)).alias("_part")).join(F.broadcast(every) if few else every, "_part", "left_semi")
-    found = found.join(F.broadcast(known) if few and keywords.limit(BROADCAST + 1).count() <= BROADCAST else known, "_part").drop("_part", "_word").dropDuplicates([key, *keywords.columns])
-    return texts.join(found, key).filter(F.contains(lower, F.col("keyword")))
+    slices = keyword_slices(keywords, chars)
+    hits = [texts.withColumn("_found", F.explode(_finder(part)(F.lower(F.col(text))))) for part in slices]
+    found = reduce(DataFrame.unionByName, hits)
+    # One slice of few rows is a bounded table.
+    few = len(slices) == 1 and keywords.limit(BROADCAST + 1).count() <= BROADCAST
+    return found.join(F.broadcast(keywords) if few else keywords, F.col("_found") == F.col("keyword")).drop("_found")
 
 
 def cashtags(text: Column) -> Column:
@@ -68,20 +111,42 @@ def bare_symbols(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(r"\b([A-Z]{1,5})\b"), F.lit(1)))
 
 
-def tag_tickers(df: DataFrame, text: str, keywords: list[tuple[str, str]], known: list[str], bare: bool = False, default: str | None = "GENERAL", extra: Column | None = None) -> DataFrame:
+def tag_tickers(
+    df: DataFrame, text: str, keywords: DataFrame | list[tuple[str, str]], known: DataFrame | list[str], bare: bool = False, default: str | None = "GENERAL", extra: Column | None = None, key: str | None = None, chars: int = SLICE_CHARS
+) -> DataFrame:
     """df with `tickers`: cashtags (and bare symbols) that are known, tickers of keywords in the text, and `extra`; sorted, `default` if there are none.
 
-    keywords and known are dimensions of at most a few thousand entries, held in the plan.
+    keywords (keyword, ticker) and known tickers (at most five letters each) are dimensions. One slice of keywords is searched for as the texts stream by; for several,
+    matches are collected by `key`, which tells rows apart.
     """
+    spark = df.sparkSession
+    pairs = keywords if isinstance(keywords, DataFrame) else spark.createDataFrame(list(keywords), "keyword string, ticker string")
+    tickers = [r[0] for r in known.select("ticker").distinct().collect()] if isinstance(known, DataFrame) else list(known)
+    slices = keyword_slices(pairs, chars)
+    if len(slices) > 1:
+        if key is None:
+            raise ValueError("so many keywords need a key that tells rows apart")
+        matched = keyword_match(df.select(key, text), pairs, text, chars).groupBy(key).agg(F.collect_set("ticker").alias("_matched"))
+        df = df.join(matched, key, "left")
+    own: dict[str, list[str]] = {}
+    for r in slices[0].select("keyword", "ticker").distinct().collect() if len(slices) == 1 else []:
+        own.setdefault(r["keyword"], []).append(r["ticker"])
+    held = spark.sparkContext.broadcast((own, frozenset(tickers)))
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf("array<string>")
+    def tags(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        of, listed = held.value
+        machine = _automaton(name, lambda: of)
+        for texts, symbols in parts:
+            yield pd.Series([sorted({x for x in s if x in listed} | {x for k in machine.found(t) for x in of[k]}) for t, s in zip(texts, symbols)], dtype=object)
+
     symbols = F.array_union(cashtags(F.col(text)), bare_symbols(F.col(text))) if bare else cashtags(F.col(text))
-    found = F.array_intersect(symbols, F.array(*[F.lit(t) for t in known]).cast("array<string>"))
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in keywords])
-    if keywords:
-        found = F.array_union(found, F.transform(F.filter(pairs, lambda p: F.contains(F.lower(F.col(text)), p.k)), lambda p: p.t))
-    if extra is not None:
-        found = F.array_distinct(F.concat(found, extra))
-    found = F.array_sort(F.coalesce(F.array_distinct(found), F.array().cast("array<string>")))
-    return df.withColumn("tickers", F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found) if default else found)
+    found = tags(F.coalesce(F.lower(F.col(text)), F.lit("")), F.coalesce(symbols, F.array().cast("array<string>")))
+    for more in [F.coalesce("_matched", F.array().cast("array<string>"))] * (len(slices) > 1) + [extra] * (extra is not None):
+        found = F.array_union(found, more)
+    found = F.array_sort(found)
+    return df.withColumn("tickers", F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found) if default else found).drop("_matched")
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:

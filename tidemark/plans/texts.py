@@ -9,7 +9,7 @@ from ..operators import features, records, text
 from . import fixtures as fx
 from .registry import query
 
-_KEYWORDS = "kw AS (SELECT item_id, lower(substr(text, 1, 25)) AS keyword FROM benchmark)"
+_KEYWORDS = "kw AS (SELECT item_id, lower(text) AS keyword FROM benchmark)"
 
 
 @query("keyword_dim", """WITH a AS (SELECT DISTINCT upper(event_type) AS ticker FROM events), w AS (SELECT ticker, lower(trim(k)) AS keyword FROM (SELECT ticker, unnest([lower(ticker), 'the ' || lower(ticker), ' x ', lower(ticker) || 's']) AS k FROM a)),
@@ -20,8 +20,8 @@ def keyword_dim(spark, d):
 
 @query("keyword_match", f"WITH {_KEYWORDS} SELECT doc_id, item_id FROM documents d JOIN kw ON contains(lower(d.text), keyword)")
 def keyword_match(spark, d):
-    kw = fx.table(spark, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 25)).alias("keyword"))
-    return text.keyword_match(fx.table(spark, d, "documents"), kw, key="doc_id").select("doc_id", "item_id")
+    kw = fx.table(spark, d, "benchmark").select("item_id", F.lower("text").alias("keyword"))
+    return text.keyword_match(fx.table(spark, d, "documents").select("doc_id", "text"), kw.select("item_id", "keyword")).select("doc_id", "item_id")
 
 
 _TAGGED = "d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '$click and $ViewS ' WHEN doc_id % 7 = 0 THEN '$errorx ' ELSE '' END || text AS text FROM documents)"
@@ -45,7 +45,8 @@ _PAIRS = (("der", "CLICK"), ("eau", "VIEW"), ("tion th", "SIGNUP"))
  {', '.join(f"CASE WHEN contains(lower(text), '{k}') THEN ['{t}'] ELSE [] END" for k, t in _PAIRS[:1])}, {', '.join(f"CASE WHEN contains(lower(text), '{k}') THEN ['{t}'] ELSE [] END" for k, t in _PAIRS[1:2])}, {', '.join(f"CASE WHEN contains(lower(text), '{k}') THEN ['{t}'] ELSE [] END" for k, t in _PAIRS[2:])}))) AS l FROM d)
 SELECT doc_id, CASE WHEN len(l) = 0 THEN 'GENERAL' ELSE array_to_string(l, ',') END AS tickers FROM t""")
 def ticker_tags(spark, d):
-    out = text.tag_tickers(_tagged(spark, d), "text", list(_PAIRS), list(fx.TICKERS))
+    pairs = spark.createDataFrame(list(_PAIRS), "keyword string, ticker string")
+    out = text.tag_tickers(_tagged(spark, d), "text", pairs, fx.companies(spark, d).filter("is_active").select("ticker"))
     return out.select("doc_id", F.array_join("tickers", ",").alias("tickers"))
 
 
@@ -107,7 +108,7 @@ def finance(spark, d):
 
 @query("scored_posts", f"WITH {fx.POSTS}, {_SCORED}, {_KEYWORDS}, h AS (SELECT p.id, count(*) AS n FROM posts p JOIN kw ON contains(lower(p.text), keyword) GROUP BY 1) SELECT s.id, s.score AS sentiment_score, h.n AS n_keywords FROM scored s JOIN h ON h.id = s.id")
 def scored_posts(spark, d):
-    kw = fx.table(spark, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 25)).alias("keyword"))
+    kw = fx.table(spark, d, "benchmark").select("item_id", F.lower("text").alias("keyword"))
     hits = text.keyword_match(fx.posts(spark, d).select("id", "text"), kw).groupBy("id").agg(F.count("*").alias("n_keywords"))
     return _scored(spark, d).join(hits, "id").select("id", "sentiment_score", "n_keywords")
 
@@ -141,12 +142,12 @@ def epoch_times(spark, d):
     return fx.table(spark, d, "events").select("event_id", times.micros(times.from_epoch(F.lit(1704067200) + F.col("event_id") * 61)).alias("us"))
 
 
-@query("bare_ticker_tags", rf"""WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'an error, a View ' ELSE '' END AS text FROM documents),
-t AS (SELECT doc_id, list_sort(list_distinct(list_concat(list_intersect(regexp_extract_all(upper(text), '\b([A-Z]{{1,5}})\b', 1), {_KNOWN}), CASE WHEN doc_id % 5 = 0 THEN ['REQUESTED'] ELSE [] END))) AS l FROM d)
+@query("bare_ticker_tags", rf"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'an error, a View ' ELSE '' END || text AS text FROM documents),
+t AS (SELECT doc_id, list_sort(list_distinct(list_concat(list_intersect(coalesce(regexp_extract_all(upper(text), '\b([A-Z]{{1,5}})\b', 1), []), {_KNOWN}), CASE WHEN doc_id % 5 = 0 THEN ['REQUESTED'] ELSE [] END))) AS l FROM d)
 SELECT doc_id, CASE WHEN len(l) = 0 THEN 'GENERAL' ELSE array_to_string(l, ',') END AS tickers FROM t""")
 def bare_tags(spark, d):
     """Bare symbols of a headline, with the ticker that was asked for."""
     key = F.col("doc_id")
-    docs = fx.table(spark, d, "documents").select("doc_id", F.when(key % 3 == 0, "an error, a View ").otherwise("").alias("text"))
+    docs = fx.table(spark, d, "documents").select("doc_id", F.concat(F.when(key % 3 == 0, "an error, a View ").otherwise(""), "text").alias("text"))
     asked = F.when(key % 5 == 0, F.array(F.lit("REQUESTED"))).otherwise(F.array().cast("array<string>"))
     return text.tag_tickers(docs, "text", [], list(fx.TICKERS), bare=True, extra=asked).select("doc_id", F.array_join("tickers", ",").alias("tickers"))
