@@ -15,35 +15,44 @@ WINDOWS = {"1min": 60, "5min": 300, "30min": 1800}
 def trailing_features(df: DataFrame, windows: dict[str, int] = WINDOWS, price: str = "price", size: str = "size") -> DataFrame:
     """Mean, population deviation and total over [t - w, t], both ends closed, within the ticker's ISO week.
 
-    A row adds to running sums at its time, and leaves those of each window by a row of its own after t + w, so a row costs the same however many
-    others a window holds. All windows share one partitioning and one sort. Prices enter as decimals of 9 places, less their mean in the week, so
-    sums are exact and what has left leaves nothing behind.
+    Time is cut into blocks of w, so a window is the end of one block, from t - w on, and the beginning of the next, up to t. Sums that run forward and backward
+    inside each block give both, and they are added: nothing is ever taken away again, so a row costs the same however many others a window holds, and a
+    window's figures depend on its own rows alone, of whatever magnitude. NaN prices make NaN of the windows that hold them; null prices count only by size.
     """
-    by = W.partitionBy("ticker", "isoyear", "isoweek")
-    df = df.withColumn("isoyear", iso_year("ts")).withColumn("isoweek", F.weekofyear("ts")).withColumn("us", micros("ts"))
     keys = ["ticker", "isoyear", "isoweek"]
-    middle = F.avg(price).over(by).cast("decimal(18,9)")
-    rows = df.select(*keys, "us", F.struct(*df.columns).alias("row"), middle.alias("middle"), F.col(size).cast("double").alias("v"), (F.col(price).cast("decimal(18,9)") - middle).cast("decimal(18,9)").alias("x"))
-    leave = F.array(F.struct(F.lit(None).cast("string").alias("window"), F.lit(0).alias("after")), *[F.struct(F.lit(name).alias("window"), F.lit(seconds * SECOND).alias("after")) for name, seconds in windows.items()])
-    both = rows.withColumn("gone", F.explode(leave)).select(*keys, (F.col("us") + F.col("gone.after")).alias("us"), F.col("gone.window").alias("window"), F.when(F.col("gone.window").isNull(), F.col("row")).alias("row"), "middle", "v", "x")
-    # Rows come before what leaves at the same time: windows are closed.
-    running = by.orderBy("us", F.col("window").isNotNull()).rangeBetween(W.unboundedPreceding, W.currentRow)
-    made = []
-    for name in windows:
-        sign = F.when(F.col("window").isNull(), 1).when(F.col("window") == name, -1)
-        total = [F.sum(F.when(F.col("x").isNotNull(), sign)).over(running), F.sum(F.col("x") * sign).over(running), F.sum((F.col("x") * F.col("x")).cast("decimal(36,18)") * sign).over(running), F.sum(F.col("v") * sign).over(running)]
-        made.append(F.struct(*[c.alias(k) for c, k in zip(total, ("n", "x", "xx", "v"))]).alias(f"sums_{name}"))
-    sums = both.select("row", "middle", *made).filter("row is not null")
-    out = []
-    for name in windows:
-        n, x, xx, v = (F.col(f"sums_{name}.{k}") for k in ("n", "x", "xx", "v"))
-        mean = x.cast("double") / n
-        out += [
-            F.when(n > 0, (x + F.col("middle") * n).cast("double") / n).alias(f"price_mean_{name}"),
-            F.when(n > 0, F.sqrt(F.greatest(xx.cast("double") / n - mean * mean, F.lit(0.0)))).otherwise(0.0).alias(f"price_std_{name}"),
-            F.coalesce(v, F.lit(0.0)).alias(f"size_tot_{name}"),
-        ]
-    return sums.select("row.*", *out)
+    df = df.withColumn("isoyear", iso_year("ts")).withColumn("isoweek", F.weekofyear("ts")).withColumn("us", micros("ts"))
+    # All windows share this partitioning: blocks lie inside a ticker's week.
+    rows = df.select(*keys, "us", F.struct(*df.columns).alias("row"), F.col(price).cast("double").alias("x"), F.col(size).cast("double").alias("v"), F.struct().alias("made"))
+    for name, seconds in windows.items():
+        width = seconds * SECOND
+        rows = rows.withColumn("block", F.floor(F.col("us") / width))
+        within = W.partitionBy(*keys, "block")
+        rows = rows.withColumn("before", _moments("x", "v", within.orderBy("us").rangeBetween(W.unboundedPreceding, W.currentRow)))
+        # A row asks at t - w, one block earlier, what comes from there on; rows of that same time are in.
+        both = rows.withColumn("asks", F.explode(F.array(F.lit(False), F.lit(True))))
+        asks = F.col("asks")
+        back = both.select(
+            *keys, "asks", (F.col("block") - asks.cast("int")).alias("block"), (F.col("us") - F.when(asks, width).otherwise(0)).alias("at"),
+            F.when(~asks, F.col("x")).alias("mx"), F.when(~asks, F.col("v")).alias("mv"), F.when(asks, F.struct("us", "row", "x", "v", "made", "before")).alias("own"),
+        )
+        after = _moments("mx", "mv", within.orderBy(F.desc("at"), "asks").rowsBetween(W.unboundedPreceding, W.currentRow))
+        asked = back.withColumn("after", after).filter("asks")
+        rows = asked.select(*keys, *[F.col(f"own.{c}").alias(c) for c in ("us", "row", "x", "v")], F.struct("own.made.*", *_joined(F.col("own.before"), F.col("after"), name)).alias("made"))
+    return rows.select("row.*", "made.*")
+
+
+def _moments(x: str, v: str, over) -> Column:
+    """Count, sum and sum of squared deviations of x, and total of v."""
+    n = F.count(x).over(over)
+    return F.struct(n.alias("n"), F.coalesce(F.sum(x).over(over), F.lit(0.0)).alias("x"), F.coalesce(F.var_pop(x).over(over) * n, F.lit(0.0)).alias("m"), F.coalesce(F.sum(v).over(over), F.lit(0.0)).alias("v"))
+
+
+def _joined(a: Column, b: Column, name: str) -> list[Column]:
+    """Features of two parts of a window together."""
+    n = a.n + b.n
+    apart = a.x / a.n - b.x / b.n
+    spread = a.m + b.m + F.when((a.n > 0) & (b.n > 0), apart * apart * (a.n * b.n / n)).otherwise(0.0)
+    return [F.when(n > 0, (a.x + b.x) / n).alias(f"price_mean_{name}"), F.when(n > 0, F.sqrt(spread / n)).otherwise(0.0).alias(f"price_std_{name}"), (a.v + b.v).alias(f"size_tot_{name}")]
 
 
 def grid_features(trades: DataFrame, step: int, windows: dict[str, int], keys: tuple[str, ...] = ("ticker", "simulated")) -> DataFrame:
