@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,8 +15,13 @@ from .registry import query
 
 
 def _root(spark) -> str:
-    """A new folder in the shared folder of the cluster, or below the warehouse where none is named."""
-    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder in the folder that all executors share, spark.checkpoint.dir; a session of one process, as in tests, makes its own."""
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="tidemark-stores-")
+        spark.sparkContext.setCheckpointDir(top)
     return f"{top}/stores-{uuid.uuid4().hex}"
 
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
+from ..operators import text
 from ..sources import readers, sinks
-from ..streaming import jobs
+from ..streaming import horizons, jobs
 from . import fixtures as fx
 from .macro import _CONTEXT as CONTEXT
 from .macro import _context as context_of
 from .market import _SPIKES
 from .registry import query
 from .stores import _root
-from .texts import _TICKER
+from .texts import _SCORED, _TICKER
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -84,8 +85,8 @@ def first_minute(spark, d):
     return _run(jobs.first_in_minute(fx.trades_of(_stream(spark, d, "events"))).select("ticker", micros("minute").alias("minute_us")))
 
 
-@query("stream_grid", f"""WITH {fx.TRADES}, c AS (SELECT ticker, CAST(floor(epoch_us(ts) / 600000000) AS BIGINT) AS cell, avg(price) AS m FROM trades GROUP BY 1, 2), span AS (SELECT ticker, min(cell) AS lo, max(cell) AS hi FROM c GROUP BY 1),
-g AS (SELECT ticker, unnest(generate_series(lo + 1, least(hi + 6, CAST(floor({_CLOSED} / 600000) AS BIGINT)))) AS cell FROM span)
+@query("stream_grid", f"""WITH {fx.TRADES}, c AS (SELECT ticker, CAST(floor(epoch_us(ts) / 600000000) AS BIGINT) AS cell, avg(price) AS m FROM trades GROUP BY 1, 2), span AS (SELECT ticker, min(cell) AS lo FROM c GROUP BY 1),
+g AS (SELECT ticker, unnest(generate_series(lo + 1, CAST(floor({_CLOSED} / 600000) AS BIGINT))) AS cell FROM span)
 SELECT g.ticker, g.cell * 600 AS at, round(last_value(c.m IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1e-9, 4) AS mean FROM g LEFT JOIN c ON c.ticker = g.ticker AND c.cell = g.cell - 1""")
 def grid(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
@@ -158,8 +159,31 @@ def topic(spark, d):
     return _run(readers.read_records(spark, {"format": "text", "path": f"{root}/topic"}, "event_id long, ticker string, price double", streaming=True))
 
 
-@query("stream_sentiment", f"""WITH {fx.POSTS}, p AS (SELECT *, {_TICKER} AS ticker, CAST(length(text) % 7 AS DOUBLE) AS score FROM posts WHERE text IS NOT NULL), w AS (SELECT *, unnest(generate_series(1, 12)) AS k FROM p),
-e AS (SELECT *, CAST((floor(epoch_us(ts) / 600000000) + k) * 600000 AS BIGINT) AS ms FROM w) SELECT ticker, social, ms * 1000 AS at_us, round(avg(score) + 1e-9, 4) AS mean, CAST(count(*) AS BIGINT) AS n FROM e WHERE ms <= (SELECT epoch_ms(max(ts)) - 600000 FROM p) GROUP BY 1, 2, 3""")
+_SCORES = f"{fx.POSTS}, {_SCORED}, p AS (SELECT *, {_TICKER} AS ticker FROM scored)"
+_TOLD = "(SELECT epoch_ms(max(ts)) - 600000 FROM p)"
+
+
+def _scores(spark, d):
+    """Posts as they stream by, with their score and ticker."""
+    posts = fx.with_tickers(text.score_text(fx.posts_of(_stream(spark, d, "documents")), "text"))
+    return posts.select("ts", "social", F.col("ticker")[0].alias("ticker"), "sentiment_score")
+
+
+@query("stream_sentiment", f"""WITH {_SCORES}, w AS (SELECT *, unnest(generate_series(1, 12)) AS k FROM p),
+e AS (SELECT *, CAST((floor(epoch_us(ts) / 600000000) + k) * 600000 AS BIGINT) AS ms FROM w) SELECT ticker, social, ms * 1000 AS at_us, round(avg(score) + 1e-9, 5) AS mean, CAST(count(*) AS BIGINT) AS n FROM e WHERE ms <= {_TOLD} GROUP BY 1, 2, 3""")
 def stream_sentiment(spark, d):
-    posts = fx.with_tickers(fx.posts_of(_stream(spark, d, "documents"))).filter("text is not null").select("ts", "social", F.col("ticker")[0].alias("ticker"), (F.length("text") % 7).cast("double").alias("sentiment_score"))
-    return _run(jobs.horizon_means(posts, "2 hours", "10 minutes")).select("ticker", "social", micros("at").alias("at_us"), F.round(F.col("mean") + 1e-9, 4).alias("mean"), "n")
+    return _run(jobs.horizon_means(_scores(spark, d), "2 hours", "10 minutes")).select("ticker", "social", micros("at").alias("at_us"), F.round(F.col("mean") + 1e-9, 5).alias("mean"), "n")
+
+
+_HORIZONS = {"sentiment_bluesky_mean_2hours": ("bluesky", 7200), "sentiment_bluesky_mean_1day": ("bluesky", 86400), "sentiment_news_mean_1day": ("news", 86400), "sentiment_news_mean_3days": ("news", 259200)}
+
+
+@query("stream_horizons", f"""WITH {_SCORES}, e AS (SELECT *, CAST(floor(epoch_us(ts) / 10000000) + 1 AS BIGINT) * 10 AS t FROM p),
+i AS ({" UNION ".join(f"SELECT ticker, t + {d} AS t FROM e WHERE social = '{s}'" for s, n in _HORIZONS.values() for d in (0, n))})
+SELECT i.ticker, i.t AS at, {", ".join(f"round(coalesce(avg(e.score) FILTER (WHERE e.social = '{s}' AND e.t > i.t - {n}), 0) + 1e-9, 5) AS {k}" for k, (s, n) in _HORIZONS.items())}
+FROM i JOIN e ON e.ticker = i.ticker AND e.t <= i.t WHERE i.t * 1000 <= {_TOLD} GROUP BY i.ticker, i.t""")
+def stream_horizons(spark, d):
+    """All horizons at once on the 10-second grid, at the instants where one of them changes."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    out = _run(horizons.horizon_features(_scores(spark, d), _HORIZONS, 10, every=False))
+    return out.select("ticker", "at", *[F.round(F.col(k) + 1e-9, 5).alias(k) for k in _HORIZONS])

@@ -141,10 +141,11 @@ class GridMeans(StatefulProcessor):
     """A ticker's mean at every grid instant from its first trade on: of the cell before it, carried over quiet cells.
 
     State is a sum for each open cell and the last mean; an event-time timer for each instant closes cells as the watermark passes. Late rows go.
-    A mean is carried for at most `idle` seconds after the last cell with a trade, and over the whole gap once a trade follows.
+    A mean is carried for as long as the watermark moves. To let the state of dead tickers go, `idle` seconds after its last trade a ticker can be left to rest:
+    its instants are told, over the whole gap, once a trade follows.
     """
 
-    def __init__(self, step: int = 10, idle: int = 3600):
+    def __init__(self, step: int = 10, idle: int | None = None):
         self.step, self.idle = step, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -174,6 +175,9 @@ class GridMeans(StatefulProcessor):
             self._wake()
         return iter(())
 
+    def _awake(self, upto: int, seen: int) -> bool:
+        return self.idle is None or (upto - seen) * self.step < self.idle
+
     def _wake(self) -> None:
         _, upto, _ = self.last.get()
         self.handle.registerTimer((upto + 1) * self.step * 1000)
@@ -184,7 +188,7 @@ class GridMeans(StatefulProcessor):
         mark = timerValues.getCurrentWatermarkInMs() // (self.step * 1000)
         mean, upto, seen = self.last.get()
         out = []
-        while upto < mark and (upto - seen) * self.step < self.idle:
+        while upto < mark and self._awake(upto, seen):
             k = (upto,)
             if self.cells.containsKey(k):
                 x, n = self.cells.getValue(k)
@@ -192,8 +196,11 @@ class GridMeans(StatefulProcessor):
                 self.cells.removeKey(k)
             upto += 1
             out.append((key[0], upto * self.step, mean))
+            if len(out) == 50_000:
+                yield _frame(out, ["ticker", "at", "mean"])
+                out = []
         self.last.update((mean, upto, seen))
-        if (upto - seen) * self.step < self.idle:
+        if self._awake(upto, seen):
             self._wake()
         if out:
             yield _frame(out, ["ticker", "at", "mean"])
@@ -202,10 +209,10 @@ class GridMeans(StatefulProcessor):
         pass
 
 
-def grid_means(trades: DataFrame, step: int = 10, delay: str = DELAY) -> DataFrame:
+def grid_means(trades: DataFrame, step: int = 10, delay: str = DELAY, idle: int | None = None) -> DataFrame:
     """Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass)."""
     rows = trades.withWatermark("ts", delay).select("ticker", "ts", "price", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("ticker").transformWithStateInPandas(GridMeans(step), "ticker string, at long, mean double", "Append", "EventTime")
+    return rows.groupBy("ticker").transformWithStateInPandas(GridMeans(step, idle), "ticker string, at long, mean double", "Append", "EventTime")
 
 
 class Changes(StatefulProcessor):
