@@ -151,10 +151,15 @@ def pending_batches(batches: DataFrame, done: DataFrame) -> DataFrame:
     return batches.join(done.select("ticker", "year", "week"), ["ticker", "year", "week"], "left_anti")
 
 
+def all_there(series: set[str], fundamentals: bool, required: tuple[str, ...] = MACRO_ALIASES) -> bool:
+    """Whether dimensions suffice: every required macro series and some fundamentals."""
+    return fundamentals and series >= set(required)
+
+
 def context_ready(macro: DataFrame, fundamentals: DataFrame, required: tuple[str, ...] = MACRO_ALIASES) -> bool:
     """Whether every macro series and some fundamentals are there, before a stream is started."""
-    seen = macro.filter(F.col("series").isin(*required)).agg(F.count_distinct("series")).first()[0]
-    return seen == len(required) and not fundamentals.isEmpty()
+    seen = {r[0] for r in macro.filter(F.col("series").isin(*required)).select("series").distinct().collect()}
+    return all_there(seen, not fundamentals.isEmpty(), required)
 
 
 def join_params(df: DataFrame, params: DataFrame) -> DataFrame:

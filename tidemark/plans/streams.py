@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.times import micros
 from ..operators import text
 from ..sources import readers, sinks
-from ..streaming import horizons, jobs
+from ..streaming import context, horizons, jobs, waiting
 from . import fixtures as fx
 from .macro import _CONTEXT as CONTEXT
 from .macro import _context as context_of
@@ -187,3 +187,48 @@ def stream_horizons(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     out = _run(horizons.horizon_features(_scores(spark, d), _HORIZONS, 10, every=False))
     return out.select("ticker", "at", *[F.round(F.col(k) + 1e-9, 5).alias(k) for k in _HORIZONS])
+
+
+_WAIT_CUT = "(SELECT (max(event_id) + 1) // 2 FROM events)"
+
+
+@query("stream_until_ready", f"WITH {fx.TRADES} SELECT event_id, price, epoch_us(ts) AS us, event_id < {_WAIT_CUT} AS waited FROM trades")
+def until_ready(spark, d):
+    """The first half of the trades arrives, then macro values and fundamentals, then the rest: the first waits for the dimensions, none is lost or doubled."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    root = _root(spark)
+    trades = fx.trades(spark, d).select("event_id", "ticker", "ts", "price")
+    cut = (trades.agg(F.max("event_id")).first()[0] + 1) // 2
+    macro, funds = fx.raw_macro(spark, d).select("series"), fx.fundamentals(spark, d).select("symbol")
+    places = {"rows": trades, "macro": macro, "funds": funds}
+    for name, df in places.items():
+        df.limit(0).write.parquet(f"{root}/{name}")
+    streams = [spark.readStream.schema(df.schema).parquet(f"{root}/{name}") for name, df in places.items()]
+    tickers = fx.companies(spark, d).filter("is_active").select("ticker")
+    required = tuple(r[0] for r in macro.distinct().orderBy("series").collect())
+    arrivals = [("rows", trades.filter(F.col("event_id") < cut)), ("macro", macro), ("funds", funds), ("rows", trades.filter(F.col("event_id") >= cut))]
+    for name, df in arrivals:
+        df.write.mode("append").parquet(f"{root}/{name}")
+        out = waiting.until_ready(*streams, tickers, required)
+        out.writeStream.outputMode("update").foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{root}/out/batch={batch}")).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("event_id", "price", micros("ts").alias("us"), "waited")
+
+
+_ALIASES = ("cpi", "ffr", "t2y")
+_GENERAL = {"sentiment_general_bluesky_mean_2hours": 7200, "sentiment_general_bluesky_mean_1day": 86400}
+
+
+@query("stream_global_context", f"""WITH {_SCORES}, m AS (SELECT event_id AS id, ts, ['cpi', 'ffr', 't2y'][user_id % 3 + 1] AS series, round(value / 100) AS value FROM events),
+c AS (SELECT * FROM m QUALIFY coalesce(lag(value) OVER (PARTITION BY series ORDER BY ts, id) != value, true)), g AS (SELECT * FROM p WHERE ticker = 'GENERAL'),
+a AS (SELECT ts, 0 AS kind, id, {", ".join(f"CASE WHEN series = '{x}' THEN value END AS {x}" for x in _ALIASES)} FROM c UNION ALL SELECT ts, 1, id, NULL, NULL, NULL FROM g),
+l AS (SELECT ts, kind, id, {", ".join(f"last_value({x} IGNORE NULLS) OVER w AS {x}" for x in _ALIASES)} FROM a WINDOW w AS (ORDER BY ts, kind, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT epoch_us(l.ts) AS us, l.kind, l.id, any_value(cpi) AS cpi, any_value(ffr) AS ffr, any_value(t2y) AS t2y, {", ".join(f"round(coalesce(avg(q.score) FILTER (WHERE q.ts >= l.ts - INTERVAL {n} SECOND), 0) + 1e-9, 5) AS {k}" for k, n in _GENERAL.items())}
+FROM l LEFT JOIN g q ON (q.ts < l.ts OR q.ts = l.ts AND l.kind = 1 AND q.id <= l.id) AND q.ts >= l.ts - INTERVAL 86400 SECOND GROUP BY l.ts, l.kind, l.id""")
+def stream_global_context(spark, d):
+    """A record with all aliases for each general post and each macro value that has changed."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    series = F.element_at(F.array(*[F.lit(x) for x in _ALIASES]), (F.col("user_id") % 3 + 1).cast("int"))
+    macro = _stream(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), series.alias("series"), F.round(F.col("value") / 100).alias("value"))
+    posts = fx.with_tickers(text.score_text(fx.posts_of(_stream(spark, d, "documents")), "text")).filter("ticker[0] = 'GENERAL'").select("id", "ts", "sentiment_score")
+    out = _run(context.global_context(macro, posts, _GENERAL, _ALIASES))
+    return out.select("us", "kind", "id", *_ALIASES, *[F.round(F.col(k) + 1e-9, 5).alias(k) for k in _GENERAL])
