@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import in_session, iso_year, micros
+from .spans import ARRIVALS, by_day, max_before, with_halo
 
 SECOND = 1_000_000
 WINDOWS = {"1min": 60, "5min": 300, "30min": 1800}
@@ -79,14 +80,62 @@ def sentiment_features(scores: DataFrame, at: DataFrame, horizons: dict[str, tup
 
     scores: ticker, ts, social, sentiment_score. With `general`, the scores of GENERAL count for every ticker.
     """
+    if general:
+        return general_features(scores, at, horizons)
     longest = max(seconds for _, seconds in horizons.values()) * SECOND
     bucket = F.floor(F.col("us") / longest)
     # A bucket is as long as the longest horizon, so a score counts in its own and in the next one, and no ticker is one task.
-    points = at.select((F.lit("GENERAL") if general else F.col("ticker")).alias("who"), micros("ts").alias("us"), F.struct(*at.columns).alias("row"), F.lit(None).cast("string").alias("social"), F.lit(None).cast("double").alias("score")).withColumn("bucket", bucket)
+    points = at.select(F.col("ticker").alias("who"), micros("ts").alias("us"), F.struct(*at.columns).alias("row"), F.lit(None).cast("string").alias("social"), F.lit(None).cast("double").alias("score")).withColumn("bucket", bucket)
     held = scores.select(F.col("ticker").alias("who"), micros("ts").alias("us"), F.lit(None).alias("row"), "social", F.col("sentiment_score").alias("score")).withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
     order = W.partitionBy("who", "bucket").orderBy("us")
     made = [F.coalesce(F.avg(F.when(F.col("social") == social, F.col("score"))).over(order.rangeBetween(-seconds * SECOND, 0)), F.lit(0.0)).alias(name) for name, (social, seconds) in horizons.items()]
-    return points.unionByName(held.filter(F.col("who") == "GENERAL") if general else held).select("row", *made).filter("row is not null").select("row.*", *horizons)
+    return points.unionByName(held).select("row", *made).filter("row is not null").select("row.*", *horizons)
+
+
+def general_features(scores: DataFrame, at: DataFrame, horizons: dict[str, tuple[str, int]], cell: int = 10) -> DataFrame:
+    """`at` (any tickers, ts) with the mean score of GENERAL over the horizon before each row, by source; empty horizons give 0. Horizons are whole numbers of cells.
+
+    Scores become sums a time, and those sums a cell of `cell` seconds, with running sums over cells (a day is a task, days are carried). A row meets three facts of its
+    cell and of those a horizon before by equality on the cell, a join that splits however many rows a cell has: the sums of the whole cells between, and the two edge cells' own
+    times, of which those inside count. A cell's times are at most as many as its clock ticks. Null scores are left out; NaN ones make NaN of the horizons that hold them.
+    """
+    width = cell * SECOND
+    if any(n % cell for _, n in horizons.values()):
+        raise ValueError("a horizon is a whole number of cells")
+    names = ("n", "x", "bad")
+    score = F.col("sentiment_score")
+    held = scores.filter((F.col("ticker") == "GENERAL") & score.isNotNull() & F.col("ts").isNotNull() & F.col("social").isin(*{s for s, _ in horizons.values()}))
+    times = held.groupBy("social", micros("ts").alias("us")).agg(F.count("*").alias("n"), F.sum(F.when(F.isnan(score), 0.0).otherwise(score)).alias("x"), F.count_if(F.isnan(score)).alias("bad"))
+    cells = times.groupBy("social", F.floor(F.col("us") / width).alias("cell")).agg(*[F.sum(c).alias(c) for c in names], F.collect_list(F.struct("us", *names)).alias("ticks"))
+    points = at.withColumn("_us", micros("ts")).withColumn("_cell", F.floor(F.col("_us") / width))
+    asked = points.select(F.col("_cell").alias("asked")).distinct()
+    shifts = F.array(*[F.struct(F.lit(s).alias("social"), F.lit(d // cell).alias("back")) for s, d in sorted({(s, d) for s, n in horizons.values() for d in (0, n)})])
+    wanted = asked.select("asked", F.explode(shifts).alias("w")).select("asked", "w.social", "w.back", (F.col("asked") - F.col("w.back")).alias("cell"))
+    every = wanted.select("social", "cell").distinct().join(cells, ["social", "cell"], "full").withColumn("day", F.floor(F.col("cell") * cell / 86_400))
+    run = W.partitionBy("social", "day").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    days = every.groupBy("social", "day").agg(*[F.sum(c).alias(c) for c in names])
+    earlier = W.partitionBy("social").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    opening = days.select("social", "day", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"day_{c}") for c in names])
+    upto = every.select("social", "day", "cell", "ticks", *names, *[F.coalesce(F.sum(c).over(run), F.lit(0)).alias(f"run_{c}") for c in names]).join(opening, ["social", "day"])
+    sums = upto.select("social", "cell", "ticks", *[F.coalesce(c, F.lit(0)).alias(c) for c in names], *[(F.col(f"day_{c}") + F.col(f"run_{c}")).alias(f"all_{c}") for c in names])
+    facts = wanted.join(sums, ["social", "cell"])
+    # One row for each asked cell, with the facts of every horizon.
+    fact = F.struct("ticks", *names, *[f"all_{c}" for c in names])
+    known = facts.groupBy("asked").agg(*[F.any_value(F.when((F.col("social") == s) & (F.col("back") == b // cell), fact), True).alias(f"f_{s}_{b}") for s, b in sorted({(s, d) for s, n in horizons.values() for d in (0, n)})])
+    met = points.join(known, F.col("_cell") == F.col("asked"), "left")
+
+    def edge(ticks: Column, inside) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("x"), F.lit(0).cast("long").alias("bad"))
+        return F.coalesce(F.aggregate(F.filter(ticks, inside), zero, lambda a, r: F.struct((a.n + r.n).alias("n"), (a.x + r.x).alias("x"), (a.bad + r.bad).alias("bad"))), zero)
+
+    out = []
+    for name, (social, seconds) in horizons.items():
+        here, there = F.col(f"f_{social}_0"), F.col(f"f_{social}_{seconds}")
+        begin = F.col("_us") - seconds * SECOND
+        first, last = edge(there.ticks, lambda r: r.us >= begin), edge(here.ticks, lambda r: r.us <= F.col("_us"))
+        n, x, bad = (here[f"all_{c}"] - here[c] - there[f"all_{c}"] + first[c] + last[c] for c in names)
+        out.append(F.coalesce(F.when(bad > 0, float("nan")).when(n > 0, x / n), F.lit(0.0)).alias(name))
+    return met.select(*at.columns, *out)
 
 
 def switch_by_session(df: DataFrame) -> DataFrame:
@@ -118,17 +167,18 @@ def first_in_minute(df: DataFrame, *tie: str) -> tuple[DataFrame, DataFrame]:
     return ranked.filter("_rank = 1").drop("_rank"), ranked.filter("_rank > 1").drop("_rank")
 
 
-def monotonic(df: DataFrame, order: str) -> DataFrame:
-    """Rows later than every row of their ticker that arrived before."""
-    before = F.max("ts").over(W.partitionBy("ticker").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    return df.withColumn("_before", before).filter("_before is null or ts > _before").drop("_before")
+def monotonic(df: DataFrame, order: str, arrivals: int = ARRIVALS) -> DataFrame:
+    """Rows later than every row of their ticker that arrived before; `order` numbers arrivals."""
+    seen = max_before(df, ["ticker"], order, F.floor(F.col(order) / arrivals), "ts", "_before")
+    return seen.filter("_before is null or ts > _before").select(df.columns)
 
 
 def offset_sequences(df: DataFrame, features: list[str], n: int = 5, step: int = 10) -> DataFrame:
     """The last n rows at the same offset within the minute, as an array of feature arrays; only full ones."""
     held = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
-    order = W.partitionBy("ticker", F.floor(F.second("ts") / step)).orderBy("ts").rowsBetween(-(n - 1), 0)
-    return df.withColumn("sequence", F.collect_list(held).over(order)).filter(F.size("sequence") == n)
+    rows = with_halo(df.withColumn("_slot", F.floor(F.second("ts") / step)), ["ticker", "_slot"], ["ts"], by_day(), n - 1)
+    order = W.partitionBy("ticker", "_slot", "_bucket").orderBy("ts").rowsBetween(-(n - 1), 0)
+    return rows.withColumn("sequence", F.collect_list(held).over(order)).filter(~F.col("_halo") & (F.size("sequence") == n)).select(*df.columns, "sequence")
 
 
 def latest(df: DataFrame, by: str, order: Column, *cols: str) -> DataFrame:

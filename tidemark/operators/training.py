@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import minmax
+from .spans import by_day, with_halo
 
 
 def select_features(df: DataFrame, keys: tuple[str, ...] = ("ticker", "timestamp", "y1")) -> list[str]:
@@ -25,11 +26,12 @@ def scale(df: DataFrame, params: DataFrame, features: list[str]) -> DataFrame:
 
 
 def training_sequences(df: DataFrame, features: list[str], label: str, order: str, n: int = 5) -> DataFrame:
-    """Arrays of n rows' features with the label of the row after; tickers of fewer than n + 1 rows give none."""
-    by = W.partitionBy("ticker").orderBy(order)
+    """Arrays of n rows' features with the label of the row after, in order of the time `order`; tickers of fewer than n + 1 rows give none."""
+    rows = with_halo(df, ["ticker"], [order], by_day(order), n - 1, 1)
+    by = W.partitionBy("ticker", "_bucket").orderBy(order)
     held = F.collect_list(F.array(*[F.col(c).cast("double") for c in features])).over(by.rowsBetween(-(n - 1), 0))
-    out = df.withColumn("sequence", held).withColumn("label", F.lead(label, 1).over(by)).withColumn("_n", F.count("*").over(W.partitionBy("ticker")))
-    return out.filter((F.size("sequence") == n) & F.col("label").isNotNull() & (F.col("_n") >= n + 1)).drop("_n")
+    out = rows.withColumn("sequence", held).withColumn("label", F.lead(label, 1).over(by))
+    return out.filter(~F.col("_halo") & (F.size("sequence") == n) & F.col("label").isNotNull()).drop("_halo", "_bucket")
 
 
 def key_feature_sequence(sequence: Column, at: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..operators import features, joins, serving
+from ..operators import features, joins, serving, spans
 from . import fixtures as fx
 from .registry import query
 from .registry import registered_sql as registry_sql
@@ -190,9 +190,7 @@ def recent(spark, d):
 
 @query("ticker_history", f"WITH {fx.TRADES} SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY ts, event_id) AS n, event_id FROM trades")
 def history(spark, d):
-    from pyspark.sql import Window as W
-
-    return fx.trades(spark, d).select("ticker", F.row_number().over(W.partitionBy("ticker").orderBy("ts", "event_id")).cast("long").alias("n"), "event_id")
+    return spans.numbered(fx.trades(spark, d), ["ticker"], ["ts", "event_id"], spans.by_day()).select("ticker", "n", "event_id")
 
 
 @query("grid_alignment", f"WITH {fx.TRADES} SELECT event_id, CAST((floor(epoch_us(ts) / 10000000) + 1) * 10 AS BIGINT) AS next_grid, second(ts) % 10 = 0 AS aligned FROM trades")
