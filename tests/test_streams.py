@@ -147,3 +147,29 @@ def test_keywords_with_and_without_inner_words(spark):
     keywords = spark.createDataFrame([("k1", "big red f"), ("k2", "fox"), ("k3", "ab"), ("k4", "g red fo"), ("k5", "longer than any text"), ("k6", "bigred")], "name string, keyword string")
     got = sorted((r["id"], r["name"]) for r in text.keyword_match(texts, keywords).collect())
     assert got == [(1, "k1"), (1, "k2"), (1, "k4"), (2, "k6"), (3, "k3"), (5, "k2")]
+
+
+def test_a_reader_sees_an_upsert_whole_or_not_at_all(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/s", "k long, v int, at int"
+    with pytest.raises(FileNotFoundError):
+        sinks.upserted(spark, path)
+    sinks.upsert(spark.range(100).selectExpr("id as k", "0 as v", "0 as at"), path, ["k"], "at")
+
+    def seen():
+        return {r["k"]: r["v"] for r in sinks.upserted(spark, path).collect()}
+
+    new = spark.range(50, 150).selectExpr("id as k", "1 as v", "1 as at")
+    staged = sinks.stage_upsert(new, path, ["k"], "at", buckets=7)  # another number of buckets does not move a key
+    assert seen() == dict.fromkeys(range(100), 0)
+    open_ = sinks.upserted(spark, path)
+    sinks.publish_upsert(spark, path, *staged)
+    assert seen() == dict.fromkeys(range(50), 0) | dict.fromkeys(range(50, 150), 1)
+    assert open_.count() == 100  # a reader of the version before
+    with pytest.raises(RuntimeError, match="another writer"):
+        sinks.publish_upsert(spark, path, *staged)
+    for v in range(2, 6):
+        sinks.upsert(spark.createDataFrame([(7, v, v)], schema), path, ["k"], "at", buckets=3 + v)
+    assert seen()[7] == 5 and len(seen()) == 150
+    assert len(list((tmp_path / "s" / "versions").glob("v*.json"))) == 2
+    sinks.upsert(spark.createDataFrame([], schema), f"{path}2", ["k"], "at")
+    assert sinks.upserted(spark, f"{path}2").collect() == []

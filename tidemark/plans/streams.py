@@ -80,6 +80,14 @@ def labels(spark, d):
     return _run(jobs.labelled(a.select("event_id", "ticker", "ts"), b)).select("event_id", "y1")
 
 
+# Simulated trades with the price of a real one, which few have; a row without one is told as the watermark passes.
+@query("stream_labels_of_all", f"""WITH {fx.TRADES} SELECT f.event_id, arg_max(t.price, (t.ts, -t.event_id)) AS y1 FROM trades f LEFT JOIN trades t ON f.ticker = t.ticker AND NOT t.simulated AND t.ts <= f.ts + INTERVAL 60 SECOND AND t.ts >= f.ts - INTERVAL 240 SECOND
+WHERE f.simulated AND epoch_ms(f.ts) + 60000 < (SELECT least(max(epoch_ms(ts)) FILTER (WHERE simulated), max(epoch_ms(ts)) FILTER (WHERE NOT simulated)) - 600000 FROM trades) GROUP BY f.event_id""")
+def labels_of_all(spark, d):
+    a, b = (fx.trades_of(_stream(spark, d, "events")) for _ in range(2))
+    return _run(jobs.labelled(a.filter("simulated").select("event_id", "ticker", "ts"), b.filter("not simulated"))).select("event_id", "y1")
+
+
 @query("stream_first_in_minute", f"WITH {fx.TRADES} SELECT DISTINCT ticker, epoch_us(date_trunc('minute', ts)) AS minute_us FROM trades")
 def first_minute(spark, d):
     return _run(jobs.first_in_minute(fx.trades_of(_stream(spark, d, "events"))).select("ticker", micros("minute").alias("minute_us")))

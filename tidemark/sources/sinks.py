@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
 from ..functions.times import month_label
 from ..operators.records import dedupe, upsert_rows
@@ -51,45 +53,75 @@ def _files(spark: SparkSession, path: str):
     return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
 
 
-def _newest(spark: SparkSession, path: str) -> dict[int, int]:
-    """The newest version of each bucket of an upsert store."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, make = _files(spark, f"{path}/versions")
+    names = [f.getPath().getName() for f in fs.listStatus(make(f"{path}/versions"))] if fs.exists(make(f"{path}/versions")) else []
+    return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+
+
+def _manifest(spark: SparkSession, path: str, version: int) -> dict:
+    """What a version is made of: the number of buckets, the schema, and the folder of each bucket."""
+    return json.loads("".join(r[0] for r in spark.read.text(f"{path}/versions/v{version}.json").collect()))
+
+
+def _newest(spark: SparkSession, path: str) -> dict[int, str]:
+    """The folder of each bucket in the newest version of an upsert store."""
+    done = _versions(spark, path)
+    return {int(b): f for b, f in _manifest(spark, path, done[-1])["folders"].items()} if done else {}
+
+
+def stage_upsert(new: DataFrame, path: str, keys: list[str], order: str, buckets: int = 16) -> tuple[int, dict]:
+    """Write the merged rows of all buckets that have new rows beside the store, and say which version with which manifest makes them count. Readers see nothing of it."""
+    spark = new.sparkSession
+    done = _versions(spark, path)
+    before = _manifest(spark, path, done[-1]) if done else {"buckets": buckets, "folders": {}}
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(before["buckets"])).cast("int")
+    touched = sorted(r[0] for r in new.select(bucket).distinct().collect())
+    old = [before["folders"][str(b)] for b in touched if str(b) in before["folders"]]
+    merged = upsert_rows(spark.read.schema(new.schema).parquet(*[f"{path}/{f}" for f in old]), new, keys, order) if old else dedupe(new, keys, F.col(order), last=True)
+    commit = uuid.uuid4().hex
+    merged.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(f"{path}/data/{commit}")
+    folders = before["folders"] | {str(b): f"data/{commit}/_bucket={b}" for b in touched}
+    return (done[-1] if done else -1) + 1, {"buckets": before["buckets"], "schema": new.schema.jsonValue(), "folders": folders}
+
+
+def publish_upsert(spark: SparkSession, path: str, version: int, manifest: dict) -> None:
+    """Make a staged version count, all its buckets at once, by the rename of one file. If another writer has published that version meanwhile, it is an error."""
     fs, make = _files(spark, path)
-    out = {}
-    for bucket in fs.listStatus(make(path)) if fs.exists(make(path)) else []:
-        name = bucket.getPath().getName()
-        if name.startswith("b"):
-            out[int(name[1:])] = max((int(v.getPath().getName()[1:]) for v in fs.listStatus(bucket.getPath())), default=-1)
-    return {b: v for b, v in out.items() if v >= 0}
+    place, staged = make(f"{path}/versions/v{version}.json"), make(f"{path}/staged-{uuid.uuid4().hex}.json")
+    out = fs.create(staged, True)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    fs.mkdirs(make(f"{path}/versions"))
+    if fs.exists(place) or not fs.rename(staged, place):
+        fs.delete(staged, False)
+        raise RuntimeError(f"version {version} of {path} was written by another writer")
+    # The version before stays for readers; folders that neither it nor this one names go, with the versions that named them.
+    kept = set(manifest["folders"].values()) | (set(_manifest(spark, path, version - 1)["folders"].values()) if version else set())
+    for old in [v for v in _versions(spark, path) if v < version - 1]:
+        for folder in set(_manifest(spark, path, old)["folders"].values()) - kept:
+            fs.delete(make(f"{path}/{folder}"), True)
+        fs.delete(make(f"{path}/versions/v{old}.json"), False)
 
 
 def upsert(new: DataFrame, path: str, keys: list[str], order: str, buckets: int = 16) -> None:
     """Insert or replace rows of a Parquet store by key, last write wins.
 
-    Keys are dealt into buckets by hash, and only buckets that have new rows are merged and written, beside what is there; each then takes its place at once by a
-    rename, as the bucket's next version. The version before stays for readers, older ones go. A bucket that another writer has moved on meanwhile is an error, and
-    a batch that was cut off between buckets is whole once it is run again.
+    Keys are dealt into buckets by hash, and only buckets that have new rows are merged and written, beside what is there. One rename of the version's manifest
+    then publishes them all, so a reader sees a batch whole or not at all, and a batch that was cut off before it is as if it had not been. The number of buckets is
+    kept in the manifest: it is that of the first call, whatever later ones say.
     """
-    spark = new.sparkSession
-    fs, make = _files(spark, path)
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    touched = sorted(r[0] for r in new.select(bucket).distinct().collect())
-    held = _newest(spark, path)
-    old = [f"{path}/b{b}/v{held[b]}" for b in touched if b in held]
-    merged = upsert_rows(spark.read.parquet(*old), new, keys, order) if old else dedupe(new, keys, F.col(order), last=True)
-    stage = f"{path}/_stage-{uuid.uuid4().hex}"
-    merged.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(stage)
-    for b in touched:
-        version = held.get(b, -1) + 1
-        fs.mkdirs(make(f"{path}/b{b}"))
-        if fs.exists(make(f"{path}/b{b}/v{version}")) or not fs.rename(make(f"{stage}/_bucket={b}"), make(f"{path}/b{b}/v{version}")):
-            raise RuntimeError(f"bucket {b} of {path} was written by another writer")
-        fs.delete(make(f"{path}/b{b}/v{version - 2}"), True)
-    fs.delete(make(stage), True)
+    publish_upsert(new.sparkSession, path, *stage_upsert(new, path, keys, order, buckets))
 
 
 def upserted(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of all buckets of an upsert store."""
-    return spark.read.parquet(*[f"{path}/b{b}/v{v}" for b, v in sorted(_newest(spark, path).items())])
+    """The newest version of an upsert store."""
+    done = _versions(spark, path)
+    if not done:
+        raise FileNotFoundError(f"{path} holds no upsert store")
+    manifest = _manifest(spark, path, done[-1])
+    schema = StructType.fromJson(manifest["schema"])
+    return spark.read.schema(schema).parquet(*[f"{path}/{f}" for _, f in sorted(manifest["folders"].items())]) if manifest["folders"] else spark.createDataFrame([], schema)
 
 
 def upsert_batch(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
