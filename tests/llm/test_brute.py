@@ -138,8 +138,14 @@ def test_licences_equal_brute_force(spark, middle):
         size = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / size for t, x in v.items()}
 
-    known = sorted([*licenses.TEMPLATES.items(), *licenses.HEADERS.items()])
-    vectors = [(name, vector(text)) for name, text in known]
+    known = sorted([*licenses.TEMPLATES.items(), *licenses.HEADERS.items(), *(x for group in licenses.NEIGHBOURS for x in group.items())])
+    vectors = [(name, vector(text), terms(text)) for name, text in known]
+
+    def stated(name, own, said):
+        """Whether a text with the terms `said` may state the licence of a template with the terms `own`."""
+        said, no = set(said), {x.encode() for x in licenses.NEGATIONS} - set(own)
+        return {x.encode() for x in licenses.REQUIRED.get(name, ())} <= said and not {x.encode() for x in licenses.EXCLUDED.get(name, ())} & said and (len(own) >= licenses.LONG or not no & said)
+
     found = 0
     for file, lines in rows:
         blocks, now = [], []
@@ -148,7 +154,8 @@ def test_licences_equal_brute_force(spark, middle):
                 now.append(x)
             elif now:
                 blocks, now = [*blocks, "\n".join(now)], []
-        best = max(((sum(v[t] * x for t, x in vector(text).items() if t in v), name) for text in [*lines, *blocks, "\n".join(lines)] for name, v in vectors), default=(0, None), key=lambda x: x[0])
+        scored = [(sum(v[t] * x for t, x in vector(text).items() if t in v), len(own), name) for text in [*lines, *blocks, "\n".join(lines)] for name, v, own in vectors if stated(name, own, terms(text))]
+        best = max(((n >= licenses.LONG and c >= licenses.STRONG, c, name) for c, n, name in scored), default=(False, 0, None), key=lambda x: (x[0], round(x[1], 12)))[1:]
         if abs(best[0] - licenses.THRESHOLD) > 1e-9:
             found += best[0] >= licenses.THRESHOLD
             assert got[file]["own"] == (best[1] if best[0] >= licenses.THRESHOLD else None), file

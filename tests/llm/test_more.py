@@ -99,6 +99,22 @@ def test_every_license_line_is_found(spark, middle):
     assert any(r["inherited_from"] for r in got.values())
 
 
+def test_neighbouring_licences_are_told_apart(spark):
+    h, t = licenses.HEADERS, licenses.TEMPLATES
+    gpl = h["GPL-3.0"]
+    texts = {
+        "GPL-3.0": gpl, "GPL-2.0": gpl.replace("version 3", "version 2"), "AGPL-3.0": gpl.replace("GNU General", "GNU Affero General"), "LGPL-3.0": gpl.replace("GNU General", "GNU Lesser General"),
+        "LGPL-2.1": gpl.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"), "BSD-2-Clause": "Copyright 2020 X\n\n" + "\n".join(x for x in h["BSD-3-Clause"].split("\n") if x[:2] != "3."),
+        "BSD-3-Clause": h["BSD-3-Clause"], "Apache-2.0": h["Apache-2.0"], "MIT": h["MIT"], "ISC": h["ISC"], "MPL-2.0": h["MPL-2.0"],
+    }
+    notes = {"GPL-2.0": t["GPL-3.0"].replace("3", "2"), "AGPL-3.0": t["GPL-3.0"].replace("GNU", "GNU Affero"), None: "why the project was not licensed under the Apache License, version 2.0, at all", "MIT": t["MIT"], "BSD-3-Clause": t["BSD-3-Clause"]}
+    rows = [(i, f"d{i}/a.py", "# " + x.replace("\n", "\n# ") + "\n\nimport os\n") for i, x in enumerate(texts.values())] + [(100 + i, f"e{i}/a.py", x) for i, x in enumerate(notes.values())]
+    rows += [(1000 + i, f"other/{i}", f"this is line {i} of the work and it is under that\nthe version of it, not another") for i in range(200)]
+    got = {r["file_id"]: r["own"] for r in rows_of(licenses.scan_files(spark.createDataFrame(rows, "file_id long, path string, text string")))}
+    assert {i: got[i] for i in range(len(texts))} == dict(enumerate(texts)) and {100 + i: got[100 + i] for i in range(len(notes))} == {100 + i: k for i, k in enumerate(notes)}
+    assert all(got[1000 + i] is None for i in range(200))
+
+
 def test_license_inheritance_and_edges(spark):
     t = licenses.TEMPLATES
     rows = [

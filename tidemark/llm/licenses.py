@@ -2,7 +2,9 @@
 
 A vector is made of every line of a file, of every block of adjacent lines (blank ones part blocks) and of the whole, over terms (runs of ASCII letters and digits
 and of other bytes beyond ASCII, A-Z lower-cased). Its cosine with each template, a notice, a standard header or a licence text, is taken, and
-the best one tells the file's own licence if it reaches the threshold.
+the best one tells the file's own licence if it reaches the threshold. A whole licence text or header that is all but equal (STRONG) decides before single lines, which near
+licences share. A licence is only told where the terms that set it apart from its neighbours (a version, Lesser, Affero) are there and those of the neighbours are not;
+a short notice not in a line that says "not".
 Weights are 1 + ln((1 + N) / (1 + df)) with the number of lines N and the line counts df of all terms, over all files. As no weight is below 1, a bound of the
 cosine without the counts of other terms than the templates' leaves few candidates; only their terms meet the counts of all terms, in a join.
 A file without a licence of its own takes that of the nearest directory above
@@ -64,6 +66,22 @@ IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMA
 ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
+#: Of near neighbours: the same notices and headers as they name them.
+_GNU = {"GPL-2.0": ("GNU General Public License", "2"), "LGPL-2.1": ("GNU Lesser General Public License", "2.1"), "LGPL-3.0": ("GNU Lesser General Public License", "3"), "AGPL-3.0": ("GNU Affero General Public License", "3")}
+NEIGHBOURS = [
+    {name: TEMPLATES["GPL-3.0"].replace("GNU General Public License", title).replace("version 3", f"version {version}") for name, (title, version) in _GNU.items()},
+    {name: HEADERS["GPL-3.0"].replace("GNU General Public License", title).replace("version 3", f"version {version}") for name, (title, version) in _GNU.items()},
+    {"BSD-2-Clause": "\n".join(x for x in HEADERS["BSD-3-Clause"].split("\n") if not x.startswith("3."))},
+]
+#: Terms that a text must have, and must not have, to state a licence.
+REQUIRED = {
+    "AGPL-3.0": ("affero", "3"), "Apache-2.0": ("apache", "2"), "CC-BY-NC-4.0": ("nc", "4"), "GPL-2.0": ("2",), "GPL-3.0": ("3",), "LGPL-2.1": ("lesser", "2", "1"), "LGPL-3.0": ("lesser", "3"), "MPL-2.0": ("mozilla", "2"),
+}
+EXCLUDED = {"GPL-2.0": ("affero", "lesser", "library"), "GPL-3.0": ("affero", "lesser", "library"), "LGPL-3.0": ("affero",), "LGPL-2.1": ("affero",), "BSD-2-Clause": ("endorse",)}
+#: Words that take a short notice back, unless its own wording has them.
+NEGATIONS = ("not", "never", "isn", "wasn", "cannot", "no")
+#: Terms of a template from which on it is a text of its own, and the cosine at which such a one decides before any shorter notice.
+LONG, STRONG = 40, 0.9
 LICENSE_NAMES = ("LICENSE", "LICENCE", "COPYING", "NOTICE")
 THRESHOLD = 0.6
 #: A term in over 1 / HOT of all lines is met by broadcast; there are at most HOT times as many as a line has on average.
@@ -83,6 +101,19 @@ class Templates:
         self.terms, which = np.unique(words[0], return_inverse=True)
         self.tf = np.zeros((len(every), len(self.terms)))
         np.add.at(self.tf, (np.repeat(np.arange(len(every)), counts), which), 1)
+        self.long = counts >= LONG
+        tokens = sorted({t for n in self.names for t in (*REQUIRED.get(n, ()), *EXCLUDED.get(n, ()))}) + list(NEGATIONS)
+        self.special = word_hashes([t.encode() for t in tokens])[1][0]
+        # Of each template the special terms that must and that must not be there.
+        self.needs = np.array([[t in REQUIRED.get(n, ()) for t in tokens] for n in self.names], bool).reshape(len(every), -1)
+        has = np.isin(self.special, self.terms) & np.array([[h in set(words[0][a - c : a].tolist()) for h in self.special.tolist()] for a, c in zip(np.cumsum(counts), counts)], bool).reshape(len(every), -1)
+        denial = np.array([t in NEGATIONS for t in tokens])
+        self.bars = np.array([[t in EXCLUDED.get(n, ()) for t in tokens] for n in self.names], bool).reshape(len(every), -1) | (denial & ~has & ~self.long[:, None])
+
+    def stated(self, owner: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+        """Whether each of n texts (a row) has what each template needs, and nothing that bars it."""
+        there = np.stack([np.bincount(owner[words == h], minlength=n) > 0 for h in self.special], axis=1).astype(np.float32)
+        return (there @ self.needs.T.astype(np.float32) == self.needs.sum(axis=1)) & (there @ self.bars.T.astype(np.float32) == 0)
 
     def find(self, words: np.ndarray) -> np.ndarray:
         """The number of each word's term, -1 if no template has it."""
@@ -103,7 +134,7 @@ class Templates:
         of, own = key // len(self.terms), key % len(self.terms)
         value = tf * self.weight[own]
         norm = np.bincount(of, value**2, n)
-        dots = np.stack([np.bincount(of, value * u[own], n) for u in self.unit], axis=1)
+        dots = np.stack([np.bincount(of, value * u[own], n) for u in self.unit], axis=1) * self.stated(owner, words, n)
         most = dots.max(axis=1) / np.sqrt(np.maximum(norm + np.bincount(owner[~known], minlength=n), 1e-12))
         out = []
         for i in np.flatnonzero(most >= threshold).tolist():
@@ -118,7 +149,7 @@ def scan_files(files: DataFrame, templates: dict[str, str] | None = None, thresh
     spark = files.sparkSession
     ship(spark)
     rows = files.select(F.col("file_id").cast("long"), F.col("path").cast("string"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    known = Templates(templates) if templates else Templates(TEMPLATES, HEADERS)
+    known = Templates(templates) if templates else Templates(TEMPLATES, HEADERS, *NEIGHBOURS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = 0
@@ -166,7 +197,9 @@ def scan_files(files: DataFrame, templates: dict[str, str] | None = None, thresh
     weight = F.col("tf") * (1 + F.log((1 + F.lit(float(lines))) / (1 + F.col("df"))))
     norms = met.groupBy("uid", "u").agg(F.sum(weight * weight).alias("other"))
     norm = F.sqrt(F.col("unit.known") + F.coalesce("other", F.lit(0.0)))
-    best = F.array_max(F.transform("unit.dots", lambda x, k: F.struct(F.round(x / norm, 12).alias("cos"), (-F.col("unit.kind")).alias("kind"), (-k).alias("k"), F.col("unit.line").alias("line"))))
+    long = F.array(*[F.lit(bool(x)) for x in known.long])
+    strong = lambda x, k: F.get(long, k.cast("int")) & (x / norm >= STRONG)
+    best = F.array_max(F.transform("unit.dots", lambda x, k: F.struct(strong(x, k).alias("strong"), F.round(x / norm, 12).alias("cos"), (-F.col("unit.kind")).alias("kind"), (-k).alias("k"), F.col("unit.line").alias("line"))))
     told = units.join(norms, ["uid", "u"], "left").groupBy("uid").agg(F.max(best).alias("best")).filter(F.col("best.cos") >= threshold)
     told = told.select("uid", F.element_at(F.array(*map(F.lit, known.names)), (1 - F.col("best.k")).cast("int")).alias("own"), F.col("best.cos").alias("similarity"), F.col("best.line").alias("line"))
     found = written(found.select("uid", "file_id", "path").join(told, "uid", "left").drop("uid"), "found")
