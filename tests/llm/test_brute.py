@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprints, language, licenses, queries, scoring, sharding, words
@@ -84,10 +85,21 @@ def test_scores_equal_brute_force(docs, edge):  # noqa: F811
             if train:
                 one.update(toks)
                 two.update(zip([None, *toks[:-1]], toks))
-        n, v = sum(one.values()), len(one)
+
+        def bounds(count):
+            """The least and the greatest count of the level that a count falls into."""
+            if not count:
+                return 0, 0
+            k = 0
+            while count >= scoring.BASE ** (k + 1) - 1e-9:
+                k += 1
+            own = [c for c in range(1, 4 * count + 4) if scoring.BASE**k - 1e-9 <= c < scoring.BASE ** (k + 1) - 1e-9]
+            return own[0], own[-1]
 
         def middle(count):
-            return float(scoring.MIDDLE[1 + math.floor(math.log(count) / math.log(scoring.BASE) + 1e-9)]) if count else 0.0
+            return sum(bounds(count)) / 2
+
+        n, v = sum(map(middle, one.values())), len(one)
 
         got = defaultdict(list)
         for r in rows_of(scoring.score_documents(table, ~language.held_out(7, 2), block_bytes=50_000, bits=1024)):
@@ -97,9 +109,9 @@ def test_scores_equal_brute_force(docs, edge):  # noqa: F811
             toks, before, near, score = [*(text or "").encode().lower().split(), None], None, False, 0.0
             for t in toks:
                 weight = scoring.HIT if near else scoring.MISS
-                pair, context = two[before, t], middle(one[before])
-                ratio = min(1.0, middle(pair) / context) if context else 0.0
-                score += math.log10((1 - weight) * (one[t] + 1) / (n + v + 1) + weight * ratio)
+                pair, context = two[before, t], bounds(one[before])[1]
+                ratio = min(1.0, bounds(pair)[0] / context) if context else 0.0
+                score += math.log10((1 - weight) * (middle(one[t]) + 1) / (n + v + 1) + weight * ratio)
                 before, near = t, pair > 0
             right += any(abs(x - score) < 1e-6 * max(1, abs(score)) for x in got[doc])
         assert right >= 0.98 * len(rows)
@@ -113,6 +125,26 @@ def test_probabilities_sum_to_at_most_one(spark):
     assert first < 0 and sum(10 ** got[1000 + i] for i in range(7)) <= 1
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 11, 16, 40, 100])
+def test_successors_of_any_history_sum_to_at_most_one(spark, n):
+    """`a` is followed by each of n words, some of them more than once; their probabilities after it, at the registered size of the filter."""
+    texts = [(i, f"a w{i % n}", True) for i in range(n + n // 3)] + [(10_000 + i, f"a w{i}", False) for i in range(n)] + [(20_000, "a", False), (20_001, "", False)]
+    got = {r["doc_id"]: r for r in rows_of(scoring.score_documents(spark.createDataFrame(texts, "doc_id long, text string, train boolean"), F.col("train")))}
+
+    # score(a w) = P(a|end) P(w|a) P(end|w); the same last factor after every w that occurs as often, and P(a|end) of the text `a` alone.
+    rows = [(f"w{i}", got[10_000 + i]["score"]) for i in range(n)]
+    level = lambda c: 1 + math.floor(math.log(c) / math.log(scoring.BASE) + 1e-9)
+    single = lambda k, total, kinds: (scoring.MIDDLE[k] + 1) / (total + kinds + 1)
+    counts = [1 + (i < n // 3) for i in range(n)]
+    train = n + n // 3
+    total, kinds = sum(scoring.MIDDLE[level(c)] for c in counts) + 2 * scoring.MIDDLE[level(train)], n + 2
+    end = single(level(train), total, kinds)
+    first = (1 - scoring.MISS) * single(level(train), total, kinds) + scoring.MISS * min(1, scoring.LEAST[level(train)] / scoring.GREATEST[level(train)])
+    last = [(1 - scoring.HIT) * end + scoring.HIT * scoring.LEAST[level(c)] / scoring.GREATEST[level(c)] for c in counts]
+    after = [10**s / first / z for (_, s), z in zip(rows, last)]
+    assert sum(after) <= 1 + 1e-9 and min(after) > 0
+
+
 def test_licences_equal_brute_force(spark, middle):
     table = spark.read.parquet(f"{middle}/documents.parquet").filter("doc_id % 3 = 0")
     extra = [

@@ -7,9 +7,11 @@ Bloom filter once for each level up to theirs. A range holds the filter of its o
 `max_filter_bytes` that are filled and probed one after another; it answers each block with the counts of its tokens and the levels of its tokens and
 bigrams. So no n-gram is left out at any size, and nothing is broadcast or gathered.
 
-A token's probability mixes the add-one unigram probability with the bigram's relative frequency, both counts read
-off the filter by probing levels until one is missing. The bigram's weight depends on the history only: HIT if the
-bigram before it was in the filter, MISS otherwise, so the probabilities of a history sum to at most one.
+A token's probability mixes the add-one unigram probability with the bigram's relative frequency, all counts read
+off the filter by probing levels until one is missing. A unigram's count is the middle of its level, and the total is that of all middles. A bigram's is the least of its level, over the
+greatest of its history's level, so the relative frequencies of a history's successors sum to at most one, but for what false positives add. The bigram's weight depends on the
+history only, HIT if the bigram before it was in the filter, MISS otherwise, so a history's probabilities sum to at most one too. Both weights are set, not fitted.
+The exact counts, which the same ranges sum, make the base score alone.
 
 Null text is empty and scores its end alone. Repeated rows count each and are scored each; an empty table gives none; other columns are left out. With no training document, N = V = 0 and every token has base probability 1.
 """
@@ -36,7 +38,9 @@ def level(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-#: The middle of each level's counts.
+#: The least, the greatest and the middle of each level's counts.
+LEAST = np.array([0.0] + [max(1, np.ceil(BASE**k - 1e-9)) for k in range(100)])
+GREATEST = np.array([0.0] + [max(1, np.ceil(BASE ** (k + 1) - 1e-9) - 1) for k in range(100)])
 MIDDLE = np.array([0.0] + [(max(1, np.ceil(BASE**k)) + max(1, np.ceil(BASE ** (k + 1)) - 1)) / 2 for k in range(100)])
 
 
@@ -127,8 +131,10 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYT
             key = (key << np.uint64(24)) >> np.uint64(buckets) | (np.uint64(bucket) << np.uint64(64 - buckets) if buckets else np.uint64(0))
         keys, which = np.unique(key, return_inverse=True)
         total = np.bincount(which, weights=own).astype(np.int64)
-        out = [(-1, kind, bucket, b"", int(total.sum()), int((total > 0).sum()))]
-        lev, each, at = filtered(keys, total, kind, max_filter_bytes, bits).astype(np.uint8)[which], total[which].astype("<i8"), 0
+        told = filtered(keys, total, kind, max_filter_bytes, bits).astype(np.uint8)
+        # Kind -1: what the filter tells of all its unigrams, in halves.
+        out = [(-1, kind, bucket, b"", int(total.sum()), int((total > 0).sum()))] + [(-1, -1, bucket, b"", int(2 * MIDDLE[told].sum()), int((told > 0).sum()))] * (kind == UNIGRAM)
+        lev, each, at = told[which], total[which].astype("<i8"), 0
         for b, n in zip(block, lengths):
             counted = each[at : at + n].tobytes() if kind == UNIGRAM else b""
             out.append((b, kind, bucket, lev[at : at + n].tobytes() + counted, n, 0))
@@ -136,8 +142,9 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYT
         return _table(out)
 
     said = written(rows.groupBy("block").applyInArrow(ask, _SCHEMA).groupBy("kind", "bucket").applyInArrow(add, _SCHEMA), "counts")
-    whole = said.filter((F.col("block") == -1) & (F.col("kind") == UNIGRAM)).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    n_train, distinct = whole["n"] or 0, whole["v"] or 0
+    whole = {r["kind"]: (r["n"], r["v"]) for r in said.filter("block = -1").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+    n_train, distinct = whole.get(UNIGRAM, (0, 0))
+    twice, n_told = whole.get(-1, (0, 0))
 
     def finish(table: pa.Table, heard: pa.Table) -> pa.Table:
         tokens = _Tokens(table.column("text").to_pylist())
@@ -152,15 +159,16 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYT
         hit = pair_level > 0
         near = np.concatenate([[False], hit[:-1]])
         near[np.concatenate([[0], tokens.ends[:-1]])] = False
-        context = MIDDLE[owner_level[tokens.which_before]]
-        ratio = np.where(context > 0, np.minimum(1.0, MIDDLE[pair_level] / np.maximum(context, 1)), 0.0)
+        single = (MIDDLE[owner_level[tokens.which]] + 1.0) / (twice / 2 + n_told + 1)
+        context = GREATEST[owner_level[tokens.which_before]]
+        ratio = np.where(context > 0, np.minimum(1.0, LEAST[pair_level] / np.maximum(context, 1)), 0.0)
         weight = np.where(near, HIT, MISS)
         firsts = tokens.ends - tokens.counts
         return pa.table(
             [
                 table.column("doc_id"), table.column("train"), pa.array(tokens.counts, pa.int64()),
                 pa.array(np.add.reduceat((c > 0).astype(np.int64), firsts)), pa.array(np.full(len(firsts), n_train, np.int64)),
-                pa.array(np.add.reduceat(np.log10(base), firsts)), pa.array(np.add.reduceat(np.log10((1 - weight) * base + weight * ratio), firsts)),
+                pa.array(np.add.reduceat(np.log10(base), firsts)), pa.array(np.add.reduceat(np.log10((1 - weight) * single + weight * ratio), firsts)),
             ],
             names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
