@@ -38,9 +38,9 @@ def trades(spark, d):
     return out.select("ticker", F.col("date").cast("string").alias("date"), micros("ts").alias("us"), "price", "size")
 
 
-@query("store_news", f"WITH {fx.POSTS} SELECT id, source AS ticker, strftime(ts, '%Y-%m-%d') AS date, length(text) AS n FROM posts WHERE id % 2 = 1")
+@query("store_news", f"WITH {fx.POSTS} SELECT id, source AS ticker, strftime(ts, '%Y-%m-%d') AS date, length(text) AS n FROM posts")
 def news(spark, d):
-    p = fx.posts(spark, d).filter("id % 2 = 1").withColumnRenamed("source", "ticker")
+    p = fx.posts(spark, d).withColumnRenamed("source", "ticker")
     return _back(spark, p, "news", F.col("ts")).select("id", "ticker", F.col("date").cast("string").alias("date"), F.length("text").cast("long").alias("n"))
 
 
