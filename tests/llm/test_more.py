@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,18 +60,35 @@ def test_search_equals_brute_force(docs, shard_bytes, terms):  # noqa: F811
 
 
 def test_registered_search_uses_the_whole_text(spark, docs, small):  # noqa: F811
-    want = brute_search(rows_of(docs), most=10_000)
+    want = {q: best for q, best in brute_search(rows_of(docs), most=10_000).items() if best}
     got = defaultdict(list)
     for r in sorted(rows_of(queries.search_query(spark, small)), key=lambda r: r["rank"]):
-        got[r["query_id"]].append(r["score"])
-    assert {q: [round(s, 6) for s in x] for q, x in got.items()} == {q: [round(s, 6) for _, s in best] for q, best in want.items() if best}
+        got[r["query_id"]].append((r["doc_id"], r["score"]))
+    assert {q: [round(s, 6) for _, s in x] for q, x in got.items()} == {q: [round(s, 6) for _, s in best] for q, best in want.items()}
+    for q, best in want.items():
+        # Where scores differ, the documents are the same in the same order.
+        apart = [i for i, (_, s) in enumerate(best) if all(abs(s - x) > 1e-6 for j, (_, x) in enumerate(best) if j != i)]
+        assert [got[q][i][0] for i in apart[:-1]] == [best[i][0] for i in apart[:-1]]
+
+
+@pytest.mark.parametrize("bound", [{"shard_docs": 9}, {"shard_postings": 2000}, {"shard_docs": 9, "group_queries": 3, "shard_bytes": 50_000}])
+def test_search_is_the_same_however_shards_are_bounded(docs, bound):  # noqa: F811
+    def found(**kw):
+        return sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in rows_of(search.top_k(docs, F.col("doc_id") % 20 == 0, **kw)))
+
+    assert found(**bound) == found()
+
+
+def test_runs_are_of_one_shard_and_kind():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 1, 4, 4], pa.int32()), pa.array([False, False, True, False, True])], ["shard", "asks"])
+    assert [(n, asks, r.num_rows) for n, asks, r in search._runs([batch, batch.slice(0, 0), batch.slice(4)])] == [(1, False, 2), (1, True, 1), (4, False, 1), (4, True, 1), (4, True, 1)]
 
 
 def test_long_and_short_searches_agree():
     rng = np.random.default_rng(3)
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(1, 60)) % 500).encode() for _ in range(700)]
     texts += texts[:20]
-    index = search.Index(np.arange(len(texts)), texts, 30.0)
+    index = search.Index(np.arange(len(texts)), search.terms(texts), 30.0)
     df = np.diff(index.firsts)
     for text in texts[::15] + [b" ".join(texts[:5])]:
         own = index.find(np.unique(search.terms([text])[1]))
