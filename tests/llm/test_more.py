@@ -88,7 +88,7 @@ def test_long_and_short_searches_agree():
     rng = np.random.default_rng(3)
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(1, 60)) % 500).encode() for _ in range(700)]
     texts += texts[:20]
-    index = search.Index(np.arange(len(texts)), search.terms(texts), 30.0)
+    index = search.Index(np.arange(len(texts)), search.joined([search.postings(texts)]), 30.0)
     df = np.diff(index.firsts)
     for text in texts[::15] + [b" ".join(texts[:5])]:
         own = index.find(np.unique(search.terms([text])[1]))
