@@ -220,3 +220,12 @@ def test_scaling_downcast_and_ridge(spark):
     assert dict(records.downcast(t.select("event_id", "price")).dtypes) == {"event_id": "tinyint", "price": "float"}
     (r,) = training.fit_ridge(t, ["price"], "y1", 1e-9).collect()
     assert [round(w, 4) for w in r["weights"]] == [1.0, 2.0]
+
+
+def test_json_scalars_keep_booleans_and_texts(spark):
+    from tidemark.functions.numbers import json_scalar
+
+    want = {"1": "1.0", "1.5": "1.5", '"12"': "12.0", '"1."': "1.0", '".5"': "0.5", '"-3"': '"-3"', '"1.2.3"': '"1.2.3"', '"abc"': '"abc"', '""': '""', "true": "true", "false": "false", "null": "null", "-7": "-7.0", "[1]": "[1]", '{"a":"1"}': '{"a":"1"}', "12345678901234567890123": "1.2345678901234568E22"}
+    rows = spark.createDataFrame([(t,) for t in want] + [("no json",), (None,)], "t string")
+    got = {r["t"]: r["v"] for r in rows.select("t", F.to_json(json_scalar(F.try_parse_json("t"))).alias("v")).collect()}
+    assert got == want | {"no json": None, None: None}

@@ -32,6 +32,9 @@ def minmax(x: Column, low: Column, high: Column) -> Column:
     return (x - low) / F.when(high == low, F.lit(1.0)).otherwise(high - low)
 
 
-def json_scalar(text: Column) -> Column:
-    """What a JSON scalar in text becomes: a number or unsigned numeric string a double, else null."""
-    return text.try_cast("double")
+def json_scalar(value: Column) -> Column:
+    """A VARIANT's scalar as records keep it: a number or a text that is an unsigned decimal number becomes a double; a boolean, any other text, a list or an object stays; JSON's null stays null."""
+    kind = F.schema_of_variant(value)
+    said = F.try_variant_get(value, "$", "string")
+    number = kind.rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*)$") | ((kind == "STRING") & said.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$"))
+    return F.when(number, F.try_variant_get(value, "$", "double").cast("variant")).otherwise(value)

@@ -130,11 +130,26 @@ def parse_times(spark, d):
     return rows.select("doc_id", times.parse_post_ts("raw", F.lit("1970-01-01").cast("timestamp")).alias("post"), F.unix_seconds(iso).alias("epoch"), times.month_label(iso).alias("month"))
 
 
-@query("json_scalars", "SELECT doc_id, TRY_CAST(CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 3 = 1 THEN 'true' ELSE doc_id || 'x' END AS DOUBLE) AS value FROM documents WHERE doc_id % 3 != 1 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 3 = 1")
+_SCALARS = {
+    "k": r"""'DOUBLE' AS kind, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS DOUBLE) AS number, '' AS said FROM events""",
+    "value": "'DOUBLE', value, '' FROM events WHERE value IS NOT NULL",
+    "user": "'DOUBLE', CAST(user_id AS DOUBLE), '' FROM events WHERE user_id IS NOT NULL",
+    "below": "'STRING', NULL, '-' || CAST(user_id AS VARCHAR) FROM events WHERE user_id IS NOT NULL",
+    "type": "'STRING', NULL, event_type FROM events WHERE event_type IS NOT NULL",
+    "large": "'BOOLEAN', NULL, CAST(value > 100 AS VARCHAR) FROM events WHERE value IS NOT NULL",
+}
+
+
+@query("json_scalars", " UNION ALL ".join(f"SELECT event_id, '{k}' AS field, {v}" for k, v in _SCALARS.items()))
 def json_scalars(spark, d):
-    key = F.col("doc_id")
-    raw = F.when(key % 3 == 0, key.cast("string")).when(key % 3 == 1, "true").otherwise(F.concat(key.cast("string"), F.lit("x")))
-    return fx.table(spark, d, "documents").select("doc_id", numbers.json_scalar(raw).alias("value"))
+    """The fields of a JSON record of each event, its own JSON's `k` among them: what each becomes, a number in `number`, a text or a boolean in `said`."""
+    user = F.col("user_id").cast("string")
+    record = F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), "value", user.alias("user"), F.concat(F.lit("-"), user).alias("below"), F.col("event_type").alias("type"), (F.col("value") > 100).alias("large"))
+    held = F.try_parse_json(F.to_json(record))
+    fields = F.array(*[F.struct(F.lit(k).alias("field"), numbers.json_scalar(F.try_variant_get(held, f"$.{k}", "variant")).alias("v")) for k in _SCALARS])
+    rows = fx.table(spark, d, "events").select("event_id", F.inline(fields)).filter("v is not null").withColumn("kind", F.schema_of_variant("v"))
+    number = F.col("kind") == "DOUBLE"
+    return rows.select("event_id", "field", "kind", F.when(number, F.try_variant_get("v", "$", "double")).alias("number"), F.when(number, "").otherwise(F.try_variant_get("v", "$", "string")).alias("said"))
 
 
 @query("epoch_times", "SELECT event_id, (1704067200 + event_id * 61) * 1000000 AS us FROM events")
