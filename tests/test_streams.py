@@ -1,6 +1,7 @@
 """Streams that are cut off and started again, late rows, buffers, sinks and scorers."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,3 +174,32 @@ def test_a_reader_sees_an_upsert_whole_or_not_at_all(spark, tmp_path):
     assert len(list((tmp_path / "s" / "versions").glob("v*.json"))) == 2
     sinks.upsert(spark.createDataFrame([], schema), f"{path}2", ["k"], "at")
     assert sinks.upserted(spark, f"{path}2").collect() == []
+
+
+@pytest.mark.parametrize("kind", ["text", "json"])
+def test_latest_starts_after_what_is_there(spark, tmp_path, kind):
+    """Files of before the first start never come; those written while the stream is down do, once."""
+    (tmp_path / "in").mkdir()
+
+    def put(n):
+        time.sleep(0.05)
+        (tmp_path / f"in/{n}.json").write_text(f'{{"n": {n}}}\n')
+
+    def run():
+        time.sleep(0.05)
+        rows = readers.read_records(spark, {"format": kind, "path": f"{tmp_path}/in"}, "n long", streaming=True, start="latest", mark=f"{tmp_path}/mark")
+        q = rows.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted(r[0] for r in spark.read.schema("n long").parquet(f"{tmp_path}/out").collect())
+
+    put(1)
+    assert run() == []
+    put(2)
+    put(3)
+    assert run() == [2, 3]
+    put(4)
+    assert run() == [2, 3, 4] and run() == [2, 3, 4]
+    with pytest.raises(ValueError):
+        readers.read_records(spark, {"format": kind, "path": f"{tmp_path}/in"}, "n long", streaming=True, start="latest")
+    with pytest.raises(ValueError):
+        readers.read_records(spark, {"format": kind, "path": f"{tmp_path}/in"}, "n long", start="latest", mark=f"{tmp_path}/mark")
