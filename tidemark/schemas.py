@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Names of fields and their order, as messages and stored data have them.
 MACRO_ALIASES = ("gdp_real", "cpi", "ffr", "t10y", "t2y", "spread_10y_2y", "unemployment")
 PRICE_FEATURES = ("price_mean_1min", "price_mean_5min", "price_std_5min", "price_mean_30min", "price_std_30min", "size_tot_1min", "size_tot_5min", "size_tot_30min")
 SENTIMENT_FEATURES = (
@@ -13,12 +14,8 @@ FUNDAMENTAL_FEATURES = ("eps", "free_cash_flow", "profit_margin", "debt_to_equit
 #: 32 ordered features of a training row.
 FEATURES = PRICE_FEATURES + SENTIMENT_FEATURES + CALENDAR_FEATURES + FUNDAMENTAL_FEATURES + MACRO_ALIASES
 
-_INTEGERS = set(CALENDAR_FEATURES) - {"minutes_since_open"}
-TRAINING_ROW = ", ".join(["ticker string", "timestamp timestamp", *[f"{c} {'int' if c in _INTEGERS else 'double'}" for c in FEATURES], "y1 double"])
-
 TRADE = "ticker string, timestamp timestamp, price double, size double, exchange string"
 BAR = "symbol string, timestamp timestamp, open double, close double, volume double"
-BAR_BATCH = f"ticker string, year int, week int, data array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in BAR.split(','))}>>"
 MACRO = "series string, date date, value double"
 POST = "id string, text string, created_at string, keyword string"
 ARTICLE = "id long, symbol_requested string, related string, date string, headline string, summary string, source string, url string, image string"

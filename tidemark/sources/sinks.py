@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from ..functions.times import month_label
 from ..operators.records import dedupe, upsert_rows
 
 #: Store -> (partition columns as SQL over the record, record key).
@@ -147,7 +146,3 @@ def write_records(df: DataFrame, sink: dict, key: str | None = None) -> DataStre
         return writer
     writer.mode("append").save()
     return None
-
-
-def partition_label(df: DataFrame, ts: str = "ts") -> DataFrame:
-    return df.withColumn("month", month_label(ts))
