@@ -98,3 +98,45 @@ def test_general_sentiment_by_cells(spark, hot, bad):
             assert r[name] == pytest.approx(sum(own) / len(own) if own else 0.0, abs=1e-12, nan_ok=True)
     plan = features.sentiment_features(scores, points, horizons, general=True)._jdf.queryExecution().executedPlan().toString()
     assert "event_id" not in "".join(x for x in plan.splitlines() if "Window [" in x)
+
+
+@pytest.mark.parametrize("bucket", [86_400, 1800])
+def test_grid_of_a_hot_ticker(spark, hot, bucket):
+    """Quiet days, windows that reach back over buckets, cells without a price, and a null ticker against plain Python."""
+    step, windows = 600, {"short": 1200, "long": 18_000}
+    rows = hot[0] + [(2000, None, START, 5.0, 2.0), (2001, None, START + dt.timedelta(days=2), None, 3.0), (2002, None, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got, tasks = many(spark, features.grid_features(df, step, windows, ("ticker",), bucket))
+    want = {}
+    for who in ("HOT", "few", None):
+        own = [(int(r[2].timestamp()), r[3], r[4]) for r in rows if r[1] == who and r[2]]
+        last = dict.fromkeys(windows)
+        for cell in range(min(t for t, *_ in own) // step + 1, max(t for t, *_ in own) // step + 2):
+            out = []
+            for name, seconds in windows.items():
+                held = [r for r in own if cell * step - seconds <= r[0] < cell * step]
+                prices = [p for _, p, _ in held if p is not None]
+                last[name] = sum(prices) / len(prices) if prices else last[name]
+                out += [last[name], sum(v for *_, v in held)]
+            want[who, cell * step] = out
+    assert len(got) == len(want) and tasks > 3
+    for r in got:
+        made = [r[c] for n in windows for c in (f"price_mean_{n}", f"size_tot_{n}")]
+        assert made == pytest.approx(want[r["ticker"], int(r["ts"].replace(tzinfo=dt.timezone.utc).timestamp())], abs=1e-9)
+
+
+def test_context_is_carried_from_day_to_day(spark, hot):
+    from tidemark.operators import joins
+
+    rows, df = hot
+    rng = random.Random(4)
+    made = [(START + dt.timedelta(seconds=rng.randrange(-90_000, 700_000)), rng.choice([None, float(i)]), float(i)) for i in range(60)]
+    context = spark.createDataFrame(made, "ts timestamp, cpi double, ffr double")
+    got = joins.latest_context_join(df, context, 600, ["cpi", "ffr"]).collect()
+    cells = {}
+    for ts, cpi, ffr in sorted(made):
+        cells[int(ts.timestamp()) // 600] = (cpi, ffr)
+    assert len(got) == len(rows)
+    for r in got:
+        before = [cells[c] for c in sorted(cells) if c < int(r["ts"].replace(tzinfo=dt.timezone.utc).timestamp()) // 600]
+        assert [r["cpi"], r["ffr"]] == [next((x[k] for x in reversed(before) if x[k] is not None), None) for k in (0, 1)]

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import in_session, iso_year, micros
-from .spans import ARRIVALS, by_day, max_before, with_halo
+from .spans import ARRIVALS, DAY, by_day, max_before, with_halo
 
 SECOND = 1_000_000
 WINDOWS = {"1min": 60, "5min": 300, "30min": 1800}
@@ -56,23 +56,42 @@ def _joined(a: Column, b: Column, name: str) -> list[Column]:
     return [F.when(n > 0, (a.x + b.x) / n).alias(f"price_mean_{name}"), F.when(n > 0, F.sqrt(spread / n)).otherwise(0.0).alias(f"price_std_{name}"), (a.v + b.v).alias(f"size_tot_{name}")]
 
 
-def grid_features(trades: DataFrame, step: int, windows: dict[str, int], keys: tuple[str, ...] = ("ticker", "simulated")) -> DataFrame:
+def grid_features(trades: DataFrame, step: int, windows: dict[str, int], keys: tuple[str, ...] = ("ticker", "simulated"), bucket: int = DAY) -> DataFrame:
     """At each grid instant T from a key's first trade to its last: mean and total over [T - w, T), means carried over empty windows.
 
-    Trades become sums per grid cell first, so a window of many cells reads as many sums, not a copy of every trade for each instant.
+    Trades become sums per grid cell first, so a window of many cells reads as many sums, not a copy of every trade for each instant. The grid is cut into
+    buckets of `bucket` seconds, each with the cells that its first windows reach back to, so a hot key is many tasks. The mean that an empty window carries is that of the
+    last cell with a price, as the last window that was not empty held no other: a bucket takes it from the one row that each earlier bucket of its key has.
     """
-    cells = trades.withColumn("cell", F.floor(micros("ts") / (step * SECOND))).groupBy(*keys, "cell").agg(F.count("price").alias("n"), F.sum("price").alias("x"), F.sum("size").alias("v"))
-    spine = cells.groupBy(*keys).agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).select(*keys, F.explode(F.sequence(F.col("lo") + 1, F.col("hi") + 1)).alias("cell"))
+    wide, length = max(windows.values()) // step, max(1, bucket // step)
     # A cell's sums are the instant's that ends it, and count from there on.
-    grid = spine.join(cells.withColumn("cell", F.col("cell") + 1), [*keys, "cell"], "left")
-    order = W.partitionBy(*keys).orderBy("cell")
+    instant = F.floor(micros("ts") / (step * SECOND)) + 1
+    sums = trades.withColumn("cell", instant).groupBy(*keys, "cell").agg(F.count("price").alias("n"), F.sum("price").alias("x"), F.sum("size").alias("v"))
+    mean, priced = F.when(F.col("n") > 0, F.col("x") / F.col("n")), F.when(F.col("n") > 0, F.col("cell"))
+    ends = sums.groupBy(*keys, F.floor(F.col("cell") / length).alias("held")).agg(F.max_by(mean, priced).alias("tail"), F.min("cell").alias("lo"), F.max("cell").alias("hi"))
+    whole = W.partitionBy(*keys)
+    along = whole.orderBy("held")
+    spans = ends.select(
+        *keys, "held", F.min("lo").over(whole).alias("lo"), F.max("hi").over(whole).alias("hi"), F.lead("held", 1).over(along).alias("next"),
+        F.last("tail", True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.last("tail", True).over(along.rowsBetween(W.unboundedPreceding, 0)).alias("after"),
+    )
+    buckets = spans.withColumn("bucket", F.explode(F.sequence("held", F.coalesce(F.col("next") - 1, F.col("held")))))
+    first = F.col("bucket") * length
+    grid = buckets.select(
+        *keys, "bucket", F.when(F.col("bucket") == F.col("held"), F.col("before")).otherwise(F.col("after")).alias("carried"),
+        F.explode(F.sequence(F.greatest(first, "lo"), F.least(first + length - 1, "hi"))).alias("cell"), F.lit(True).alias("asked"),
+    )
+    reach = F.sequence(F.floor(F.col("cell") / length), F.floor((F.col("cell") + wide - 1) / length))
+    both = grid.unionByName(sums.withColumn("bucket", F.explode(reach)), allowMissingColumns=True)
+    order = W.partitionBy(*keys, "bucket").orderBy("cell")
+    known = F.coalesce(F.last(mean, True).over(order.rangeBetween(W.unboundedPreceding, 0)), F.col("carried"))
     made = []
     for name, seconds in windows.items():
         frame = order.rangeBetween(-(seconds // step) + 1, 0)
-        made += [(F.sum("x").over(frame) / F.sum("n").over(frame)).alias(f"mean_{name}"), F.coalesce(F.sum("v").over(frame), F.lit(0.0)).alias(f"size_tot_{name}")]
-    out = grid.select(*keys, "cell", *made)
-    carried = [F.last(f"mean_{n}", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)).alias(f"price_mean_{n}") for n in windows]
-    return out.select(*keys, F.timestamp_seconds(F.col("cell") * step).alias("ts"), *carried, *[f"size_tot_{n}" for n in windows])
+        n = F.sum("n").over(frame)
+        made += [F.when(n > 0, F.sum("x").over(frame) / n).otherwise(known).alias(f"price_mean_{name}"), F.coalesce(F.sum("v").over(frame), F.lit(0.0)).alias(f"size_tot_{name}")]
+    out = both.select(*keys, "cell", "asked", *made).filter("asked")
+    return out.select(*keys, F.timestamp_seconds(F.col("cell") * step).alias("ts"), *[f"price_mean_{n}" for n in windows], *[f"size_tot_{n}" for n in windows])
 
 
 def sentiment_features(scores: DataFrame, at: DataFrame, horizons: dict[str, tuple[str, int]], general: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import ratio
 from ..functions.times import micros
 from ..schemas import FEATURES, FUNDAMENTAL_FEATURES, MACRO_ALIASES
+from .spans import DAY, last_before
 
 MINUTE = 60_000_000
 #: Length of the time buckets of as-of joins.
@@ -92,12 +93,14 @@ def merge_context(features: DataFrame, context: DataFrame, fields: list[str], re
 
 
 def latest_context_join(features: DataFrame, context: DataFrame, step: int, fields: list[str]) -> DataFrame:
-    """The scalable context join: context resampled to one row a `step` seconds and carried forward, then an equality join on the step."""
+    """The scalable context join: context resampled to one row a `step` seconds and carried forward, then an equality join on the step.
+
+    Steps are carried forward inside a day each, and from day to day by one row of each.
+    """
     cell = F.floor(micros("ts") / (step * 1_000_000))
     newest = context.withColumn("cell", cell).groupBy("cell").agg(*[F.max_by(c, micros("ts")).alias(c) for c in fields])
-    order = W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    spine = features.select(cell.alias("cell")).distinct().unionByName(newest.select("cell")).distinct()
-    known = spine.join(newest, "cell", "left").select("cell", *[F.last(c, ignorenulls=True).over(order).alias(c) for c in fields])
+    steps = features.select(cell.alias("cell")).distinct().join(newest, "cell", "full")
+    known = last_before(steps, [], "cell", F.floor(F.col("cell") * step / DAY), fields)
     return features.withColumn("cell", cell).join(known, "cell", "left").drop("cell")
 
 

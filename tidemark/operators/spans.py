@@ -62,6 +62,17 @@ def max_before(df: DataFrame, keys: list[str], order: str, bucket: Column, value
     return _met(own, carried, [*keys, "_bucket"]).withColumn(name, F.greatest(name, "_carried")).drop("_carried", "_bucket")
 
 
+def last_before(df: DataFrame, keys: list[str], order: str, bucket: Column, values: list[str]) -> DataFrame:
+    """df with each of the values replaced by the last of it, nulls left out, of the rows of its key that come before in `order`: of the row's bucket, else of earlier ones."""
+    rows = df.withColumn("_bucket", bucket)
+    ends = rows.groupBy(*keys, "_bucket").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in values])
+    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_bucket", *[F.last(v, ignorenulls=True).over(earlier).alias(f"_from_{v}") for v in values])
+    before = W.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    own = rows.withColumns({v: F.last(v, ignorenulls=True).over(before) for v in values})
+    return _met(own, carried, [*keys, "_bucket"]).withColumns({v: F.coalesce(v, f"_from_{v}") for v in values}).drop("_bucket", *[f"_from_{v}" for v in values])
+
+
 def _met(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with what `held` has for their keys, null ones too."""
     a, b = rows.alias("a"), held.alias("b")
