@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.times import micros
 from ..operators import joins, records
+from ..operators.features import WINDOWS
+from ..schemas import FEATURES, MACRO_ALIASES, PRICE_FEATURES, SENTIMENT_FEATURES
 from . import fixtures as fx
 from .registry import query
 
@@ -120,11 +123,35 @@ def _training_macro(spark, d):
 
 
 def _training_fundamentals(spark, d):
+    """The fundamentals of brands as those of the tickers that their numbers stand for, moved to the trades' years."""
     made = fx.fundamentals(spark, d)
-    names = F.element_at(F.array(*[F.lit(t) for t in fx.TICKERS]), (F.pmod(F.crc32("symbol"), F.lit(5)) + 1).cast("int"))
+    names = F.element_at(F.array(*[F.lit(t) for t in fx.TICKERS]), F.regexp_extract("symbol", "([0-9]+)", 1).cast("int") % 5 + 1)
     return made.withColumn("loaded", F.concat_ws("/", "symbol", "loaded")).withColumn("symbol", names).withColumn("calendarYear", (F.col("calendarYear").cast("int") + 25).cast("string"))
 
 
-@query("training_table")
+def _training_sql() -> str:
+    made = []
+    for name in PRICE_FEATURES:
+        kind, _, window = name.rpartition("_")
+        over = f"OVER (PARTITION BY symbol, isoyear(ts), week(ts) ORDER BY ts RANGE BETWEEN INTERVAL {WINDOWS[window]} SECOND PRECEDING AND CURRENT ROW)"
+        made.append({"price_mean": f"round(avg(open) {over} + 1e-9, 6)", "price_std": f"round(coalesce(stddev_pop(open) {over}, 0), 4)", "size_tot": f"coalesce(sum(volume) {over}, 0)"}[kind] + f" AS {name}")
+    wall = "(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York')"
+    series = [f"m_{a} AS (SELECT d.day, m.value AS {a} FROM days d ASOF LEFT JOIN (SELECT * FROM moved WHERE series = '{a}') m ON d.day >= m.date)" for a in MACRO_ALIASES]
+    return f"""WITH {fx.TRADES}, {fx.BARS}, {fx.FUNDAMENTALS}, {fx.RAW_MACRO}, {fx.MACRO}, moved AS (SELECT series, CAST(date + INTERVAL 26 YEAR AS DATE) AS date, value FROM macro),
+rows AS (SELECT symbol AS ticker, ts, close, CAST(ts AS DATE) AS day, epoch_us({wall}) - epoch_us(date_trunc('day', {wall})) - 34200000000 AS us, {", ".join(made)} FROM bars),
+days AS (SELECT DISTINCT day FROM rows), {", ".join(series)},
+named AS (SELECT *, [{", ".join(f"'{t}'" for t in fx.TICKERS)}][CAST(regexp_extract(symbol, '([0-9]+)', 1) AS INT) % 5 + 1] AS ticker, CAST("calendarYear" AS INT) + 25 AS y FROM fundamentals),
+f AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY ticker, y ORDER BY symbol || '/' || loaded DESC) = 1)
+SELECT r.ticker, epoch_us(r.ts) AS timestamp_us, {", ".join(f"r.{c}" for c in PRICE_FEATURES)}, {", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in SENTIMENT_FEATURES)},
+CAST(greatest(floor(us / 60000000.0), 0) AS DOUBLE) AS minutes_since_open, CAST(isodow(ts) - 1 AS INT) AS day_of_week, CAST(day(ts) AS INT) AS day_of_month, CAST(week(ts) AS INT) AS week_of_year, CAST(month(ts) AS INT) AS month_of_year,
+CAST(us >= 0 AND us <= 240000000 AS INT) AS market_open_spike_flag, CAST(us >= 23160000000 AND us <= 23400000000 AS INT) AS market_close_spike_flag,
+round(f.eps, 6) AS eps, f."cashflow_freeCashFlow" AS free_cash_flow, {_RATIOS}, {", ".join(MACRO_ALIASES)}, r.close AS y1
+FROM rows r LEFT JOIN f ON f.ticker = r.ticker AND f.y = year(r.ts) - 1 {" ".join(f"JOIN m_{a} ON m_{a}.day = r.day" for a in MACRO_ALIASES)}"""
+
+
+@query("training_table", _training_sql())
 def training_table(spark, d):
-    return joins.training_table(fx.bars(spark, d), _training_macro(spark, d), _training_fundamentals(spark, d))
+    out = joins.training_table(fx.bars(spark, d), _training_macro(spark, d), _training_fundamentals(spark, d))
+    rounded = {c: F.round(F.col(c) + 1e-9, 6) for c in PRICE_FEATURES if c.startswith("price_mean")} | {c: F.round(c, 4) for c in (*PRICE_FEATURES, "debt_to_equity") if c.startswith(("price_std", "debt"))}
+    out = out.withColumns(rounded | {"eps": F.round("eps", 6), "profit_margin": F.round("profit_margin", 6)})
+    return out.select("ticker", micros("timestamp").alias("timestamp_us"), *FEATURES, "y1")

@@ -86,10 +86,17 @@ def error(spark, d):
     return training.forecast_error(training.forecast(rows.filter("not is_train"), params.drop("n"), "price")).select("ticker", F.round("mse", 3).alias("mse"), "n")
 
 
-@query("ridge_forecast")
+# Sums about the means, and the two equations of the weights solved; the intercept bears no penalty.
+_RIDGE = """m AS (SELECT ticker, count(*) * var_pop(price) + 1 AS pp, count(*) * var_pop(size) + 1 AS ss, count(*) * covar_pop(price, size) AS ps, count(*) * covar_pop(price, y1) AS py, count(*) * covar_pop(size, y1) AS sy,
+ avg(price) AS p, avg(size) AS s, avg(y1) AS y FROM label WHERE (event_id * 7919) % 100 < 80 AND price IS NOT NULL AND size IS NOT NULL AND y1 IS NOT NULL GROUP BY 1),
+w AS (SELECT *, (py * ss - sy * ps) / (pp * ss - ps * ps) AS wp, (sy * pp - py * ps) / (pp * ss - ps * ps) AS ws FROM m)"""
+
+
+@query("ridge_forecast", f"WITH {fx.TRADES}, {_NEAR}, {_RIDGE} SELECT ticker, round(y - wp * p - ws * s, 4) AS intercept, round(wp, 5) AS price_weight, round(ws, 5) AS size_weight FROM w")
 def ridge(spark, d):
     rows, _ = _fit(spark, d)
-    return training.fit_ridge(rows.filter("is_train"), ["price", "size"], "y1").select("ticker", F.transform("weights", lambda w: F.round(w, 4)).alias("weights"))
+    fitted = training.fit_ridge(rows.filter("is_train"), ["price", "size"], "y1")
+    return fitted.select("ticker", *[F.round(F.col("weights")[i], n).alias(c) for i, (c, n) in enumerate([("intercept", 4), ("price_weight", 5), ("size_weight", 5)])])
 
 
 @query("forecast_vs_actual", f"{_FIT}, p AS (SELECT event_id, ticker, ts + INTERVAL 60 SECOND AS ts, intercept + slope * price AS prediction FROM label JOIN fit USING (ticker)), a AS (SELECT * FROM trades) SELECT p.event_id, round(p.prediction, 4) AS prediction, a.price AS actual FROM p ASOF LEFT JOIN (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY ticker, ts ORDER BY event_id) = 1) a ON p.ticker = a.ticker AND p.ts >= a.ts")
