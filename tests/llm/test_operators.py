@@ -166,6 +166,22 @@ def test_language_of_edge_rows(edge, none):
     assert language.references(none) == {}
 
 
+def test_labelled_sample_is_bounded(spark):
+    """Rows without doc_id, of one doc_id, repeated, and very long: few go into the sample, and each language has its share."""
+    rows = [(None, f"kein Wort {'abcdefghij'[i % 10] * (i // 10 + 1)}", "de") for i in range(3000)] + [(7, f"one two {'abcdefghij'[i % 10] * (i // 10 + 1)}", "en") for i in range(300)]
+    rows += [(10_000 + i, "toujours la même chose", "fr") for i in range(300)] + [(20_000, "pa aqui " * 300_000, "es"), (None, "1 2 3", "xx"), (30_000, None, "en")] + [(20_001, "otra vez", "es")] * 50
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    refs = language.references(table)
+    assert sorted(refs) == ["de", "es", "fr"] or sorted(refs) == ["de", "en", "es", "fr"]
+    assert all(len(t) <= 2 * language.SAMPLE_LETTERS // 5 for t in refs.values()) and len(refs["es"]) > language.SAMPLE_LETTERS // 6
+    assert 2 <= refs["de"].count("kein wort ") <= 4 * language.SAMPLE_DOCS and refs["fr"].count("toujours") <= 4 * language.SAMPLE_DOCS
+    assert language.references(table.repartition(2)) == refs
+    said = rows_of(language.identify(table.filter("doc_id = 20000 or doc_id is null").limit(20), refs))
+    assert len(said) == 20 and {r["lang_pred"] for r in said} <= {*refs, "und"}
+    small = language.references(table, 4, 500)
+    assert all(len(t) <= 200 for t in small.values()) and "de" in small
+
+
 def test_suffix_automaton_takes_longest_matches():
     from hypothesis import given
     from hypothesis import strategies as st

@@ -5,7 +5,9 @@ every run of other characters than letters becomes one space. A text is parsed a
 words; at every PIECE letters a new match begins, so that a task parses many pieces side by side, one character of each at a step. Phrases times log2 of the reference's
 length, by letters of the text, is the cross-parsing entropy; the language with the lowest wins, the first by name on ties.
 
-The sample is bounded by one parameter: about `sample_docs` documents a language, chosen by a hash of doc_id, each whole. Prediction reads the whole text and only the text.
+The sample is bounded by two parameters: about `sample_docs` documents a language (never over four times as many), chosen by a hash of doc_id, of rows without one by a hash of the text, and
+`sample_letters` characters of all languages together, an equal share for each: documents are taken whole in the order of their hashes until the share is used up, the last one in part. So rows
+of one doc_id, rows without any, and labelled texts of any length leave the driver and the automata bounded. Rows that are repeated count once. Prediction reads the whole text and only the text.
 Null text, or text without a letter, or no labelled document at all, gives `und` with score 0. Repeated rows each get a prediction. Other columns pass through in `rest`.
 """
 
@@ -18,11 +20,12 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import by_bytes, identity, only, ship, trimmed
 
-SAMPLE_DOCS, PIECE, TARGET = 16, 2048, 25
+SAMPLE_DOCS, SAMPLE_LETTERS, PIECE, TARGET = 16, 1 << 20, 2048, 25
 
 
 @cache
@@ -203,18 +206,27 @@ class Parser:
         return said[0], float(score[0])
 
 
-def references(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, str]:
+def references(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_letters: int = SAMPLE_LETTERS) -> dict[str, str]:
     """A reference text for each language of labelled documents (doc_id, text, lang), from the bounded sample."""
-    known = labelled.filter("lang is not null and text is not null")
+    known = labelled.filter("lang is not null and text is not null").select("lang", "doc_id", "text")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     rate = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(float(sample_docs / n)))])
-    place = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    out: dict[str, list[str]] = {k: [] for k in counts}
-    for r in known.filter(place < rate[F.col("lang")]).select("lang", "text", "doc_id").orderBy("lang", "doc_id", "text").collect():
-        out[r["lang"]].append(normal(r["text"]))
-    return {k: "".join(v).replace("  ", " ") for k, v in out.items() if any(map(str.isalpha, "".join(v)))}
+    own = F.xxhash64(F.lit(3), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+    place = F.pmod(own, F.lit(1 << 30)) / float(1 << 30)
+    share = max(1, sample_letters // len(counts))
+    chosen = known.withColumn("place", place).filter(F.col("place") < rate[F.col("lang")]).withColumn("text", F.substring("text", 1, share)).dropDuplicates(["lang", "doc_id", "text"])
+    first = chosen.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id", "text"))).filter(F.col("rank") <= 4 * sample_docs)
+    left = dict.fromkeys(counts, share)
+    out: dict[str, list[tuple]] = {k: [] for k in counts}
+    # One at a time, in order: what is beyond a language's share is not kept.
+    for r in first.orderBy("lang", "rank").toLocalIterator():
+        text = r["text"][: left[r["lang"]]]
+        left[r["lang"]] -= len(text)
+        out[r["lang"]].append((r["doc_id"] is not None, r["doc_id"] or 0, text))
+    made = {k: "".join(normal(t) for *_, t in sorted(v)).replace("  ", " ") for k, v in out.items()}
+    return {k: t for k, t in made.items() if any(map(str.isalpha, t))}
 
 
 def alphabet(labelled: DataFrame) -> str:
