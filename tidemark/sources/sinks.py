@@ -13,15 +13,15 @@ from pyspark.sql.types import StructType
 
 from ..operators.records import dedupe, upsert_rows
 
-#: Store -> (partition columns as SQL over the record, record key).
+#: Store -> (partition columns as SQL over the record, record key). Trades of one time are told apart by their id, and so are predictions.
 STORES = {
-    "trades": ({"ticker": "ticker", "date": "date_format(ts, 'yyyy-MM-dd')"}, ["ticker", "ts"]),
+    "trades": ({"ticker": "ticker", "date": "date_format(ts, 'yyyy-MM-dd')"}, ["ticker", "ts", "event_id"]),
     "news": ({"ticker": "ticker", "date": "date_format(ts, 'yyyy-MM-dd')"}, ["id"]),
     "posts": ({"date": "date_format(ts, 'yyyy-MM-dd')", "keyword": "keyword"}, ["id"]),
     "forum": ({"date": "date_format(ts, 'yyyy-MM-dd')", "subreddit": "coalesce(subreddit, 'unknown')"}, ["id"]),
     "macro": ({"series": "series", "year": "year(date)"}, ["series", "date"]),
     "sentiment": ({"social": "social", "ticker": "ticker", "month": "date_format(ts, 'yy-MM')"}, ["social", "ticker", "ts"]),
-    "predictions": ({"ticker": "ticker", "month": "date_format(ts, 'yy-MM')"}, ["ticker", "ts"]),
+    "predictions": ({"ticker": "ticker", "month": "date_format(ts, 'yy-MM')"}, ["ticker", "ts", "event_id"]),
     "bars": ({"ticker": "ticker", "year": "extract(YEAROFWEEK FROM ts)", "week": "weekofyear(ts)"}, ["ticker", "ts"]),
     "fundamentals": ({"symbol": "symbol", "calendarYear": "calendarYear"}, ["symbol", "calendarYear"]),
 }
