@@ -45,3 +45,17 @@ def test_records_of_one_time_are_all_stored(spark, tmp_path):
     for name in ("trades", "predictions"):
         sinks.write_store(df, name, f"{tmp_path}/{name}", F.col("arrival"))
         assert sorted(r["price"] for r in spark.read.parquet(f"{tmp_path}/{name}").collect()) == [0.0, 1.0, 2.0, 3.0]
+
+
+def test_sentiment_of_a_dense_ticker_without_sliding_windows(spark):
+    from tidemark.operators import features
+
+    rows = [(i, "AB"[i % 3 == 0], START + dt.timedelta(seconds=7 * (i // 2)), ("bluesky", "news")[i % 5 == 0], None if i % 11 == 0 else i / 8) for i in range(300)]
+    scores = spark.createDataFrame(rows, "id long, ticker string, ts timestamp, social string, sentiment_score double")
+    horizons = {"short": ("bluesky", 20), "long": ("news", 300)}
+    out = features.sentiment_features(scores, scores.select("id", "ticker", "ts"), horizons)
+    assert "Window" not in out._jdf.queryExecution().toString()
+    got = {r["id"]: (r["short"], r["long"]) for r in out.collect()}
+    for i, ticker, ts, _, _ in rows:
+        own = [[x for _, k, t, s, x in rows if k == ticker and s == social and x is not None and ts - dt.timedelta(seconds=n) <= t <= ts] for social, n in horizons.values()]
+        assert got[i] == tuple(sum(o) / len(o) if o else 0.0 for o in own)
