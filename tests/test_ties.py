@@ -59,3 +59,10 @@ def test_sentiment_of_a_dense_ticker_without_sliding_windows(spark):
     for i, ticker, ts, _, _ in rows:
         own = [[x for _, k, t, s, x in rows if k == ticker and s == social and x is not None and ts - dt.timedelta(seconds=n) <= t <= ts] for social, n in horizons.values()]
         assert got[i] == tuple(sum(o) / len(o) if o else 0.0 for o in own)
+
+
+def test_a_json_record_is_parsed_once(spark, small):
+    from tidemark.plans import registry
+
+    plan = registry.queries()["json_scalars"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("to_json") + plan.count("StructsToJsonEvaluator") <= 6
