@@ -66,3 +66,15 @@ def test_a_json_record_is_parsed_once(spark, small):
 
     plan = registry.queries()["json_scalars"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("to_json") + plan.count("StructsToJsonEvaluator") <= 6
+
+
+def test_rows_of_one_arrival_come_by_event_id(spark, tmp_path):
+    from tidemark.plans import registry
+
+    # Arrivals repeat after 1000003 events: of ids 5 and 1000008 the first came first, whatever the order of the file.
+    for turn in (1, -1):
+        rows = [(5 + 1_000_003 * k, START.replace(tzinfo=None) + dt.timedelta(seconds=k), k, "view", 1.0, "") for k in range(4)][::turn]
+        events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+        events.coalesce(1).write.parquet(f"{tmp_path}/{turn}/events.parquet")
+        got = registry.queries()["monotonic_points"](spark, f"{tmp_path}/{turn}").collect()
+        assert sorted(r["event_id"] for r in got) == [5, 1000008, 2000011, 3000014]

@@ -52,13 +52,13 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column, n
     return _met(own, first, [*keys, "_bucket"]).withColumn(name, F.col(name) + F.col("_first")).drop("_first", "_bucket")
 
 
-def max_before(df: DataFrame, keys: list[str], order: str, bucket: Column, value: str, name: str) -> DataFrame:
-    """df with the greatest `value` of all rows of its key that come before in `order`: of earlier buckets, and of the row's own."""
+def max_before(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: str, name: str) -> DataFrame:
+    """df with the greatest `value` of all rows of its key that come before in `order`: of earlier buckets, and of the row's own. Rows that tie in all of `order` come in any order."""
     rows = df.withColumn("_bucket", bucket)
     tops = rows.groupBy(*keys, "_bucket").agg(F.max(value).alias("_top"))
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     carried = tops.select(*keys, "_bucket", F.max("_top").over(earlier).alias("_carried"))
-    own = rows.withColumn(name, F.max(value).over(W.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, -1)))
+    own = rows.withColumn(name, F.max(value).over(W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)))
     return _met(own, carried, [*keys, "_bucket"]).withColumn(name, F.greatest(name, "_carried")).drop("_carried", "_bucket")
 
 

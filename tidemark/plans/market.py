@@ -205,7 +205,7 @@ def warmup(spark, d):
 
 @query("monotonic_points", f"WITH {fx.TRADES}, o AS (SELECT *, (event_id * 7919) % 1000003 AS arrival FROM trades) SELECT event_id FROM (SELECT event_id, ts, max(ts) OVER (PARTITION BY ticker ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o) WHERE before IS NULL OR ts > before")
 def monotonic(spark, d):
-    return features.monotonic(fx.trades(spark, d).withColumn("arrival", F.col("event_id") * 7919 % 1000003), "arrival").select("event_id")
+    return features.monotonic(fx.trades(spark, d).withColumn("arrival", F.col("event_id") * 7919 % 1000003), "arrival", ties=("event_id",)).select("event_id")
 
 
 @query("session_switch", registry_sql("grid_features_ffill").replace("SELECT ticker, simulated, cell * 600 AS at", "SELECT * FROM (SELECT ticker, simulated, cell * 600 AS at") + f""")
