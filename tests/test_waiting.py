@@ -84,3 +84,22 @@ def test_context_is_sent_on_posts_and_changes(spark, tmp_path):
     assert run() == first + [(50, 0, 8, 4.0, 5.0, 1.0, 1.0), (120, 1, 9, 4.0, 5.0, 0.5, pytest.approx(2.5 / 3)), (5000, 1, 10, 4.0, 5.0, -1.0, -1.0)]
     state = spark.read.format("statestore").option("stateVarName", "posts").option("flattenCollectionTypes", True).load(f"{tmp_path}/log")
     assert state.count() == 1
+
+
+def test_a_hot_ticker_waits_in_many_slots(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        gate = Gate(spark, str(tmp_path))
+        put(spark, gate.path + "/rows", trades(*range(400)) + trades(400, ticker=None), ROWS)
+        assert gate.run() == []
+        held = spark.read.format("statestore").option("stateVarName", "held").load(f"{tmp_path}/log").select("key.*").distinct().collect()
+        assert sum(r["ticker"] == "A" for r in held) > 8
+        put(spark, gate.path + "/macro", [(x, 1.0) for x in ("cpi", "ffr") * 20], MACRO)
+        put(spark, gate.path + "/funds", [("Z",)] * 30, FUNDS)
+        assert gate.run() == [(i, True) for i in range(400)]
+        put(spark, gate.path + "/rows", trades(*range(500, 600)), ROWS)
+        assert gate.run()[400:] == [(i, False) for i in range(500, 600)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    back = {r["event_id"]: (r["ts"].replace(tzinfo=dt.timezone.utc), r["price"]) for r in spark.read.parquet(gate.path + "/out").collect()}
+    assert all(back[i] == (ts, p) for i, _, ts, p in trades(*range(400)))
