@@ -63,3 +63,15 @@ def test_changes_only_and_bounded_state(spark, tmp_path):
     # All cells but the last row's have left every horizon, and with them the state.
     state = spark.read.format("statestore").option("stateVarName", "cells").option("flattenCollectionTypes", True).load(f"{tmp_path}/log")
     assert state.count() == 1
+
+
+def test_cells_are_held_in_blocks(spark, tmp_path):
+    rows = [("A", 7 * i, ("bluesky", "news")[i % 2], float(i % 5)) for i in range(2000)]
+    for k in range(2):
+        put(spark, f"{tmp_path}/in", rows[1000 * k : 1000 * k + 1000])
+        got = run(spark, tmp_path, False)
+        state = spark.read.format("statestore").option("stateVarName", "cells").option("flattenCollectionTypes", True).load(f"{tmp_path}/log")
+        assert 1 < state.count() < 10
+    put(spark, f"{tmp_path}/in", [("A", 14_010, "news", None), ("A", 5, "news", 99.0), ("A", 14_060, "other", 1.0)])
+    got = run(spark, tmp_path, False)
+    assert got == brute(rows, 14_000, False)

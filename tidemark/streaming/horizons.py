@@ -1,4 +1,4 @@
-"""Means over several long horizons at a fine step, from one state: sums of cells, as many as the longest horizon has steps."""
+"""Means over several long horizons at a fine step, from one state: sums of cells, as many as the longest horizon has steps, in blocks."""
 
 from __future__ import annotations
 
@@ -12,16 +12,22 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .jobs import DELAY
 
-#: Rows that a timer gives at a time.
-CHUNK = 50_000
+#: Rows that a timer gives at a time, and steps whose cells are one value of the state.
+CHUNK, BLOCK = 50_000, 512
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Of rows of end, sum and count one for each end, in order."""
+    ends, at = np.unique(rows[:, 0], return_inverse=True)
+    return np.column_stack([ends, np.bincount(at, rows[:, 1], len(ends)), np.bincount(at, rows[:, 2], len(ends))])
 
 
 class HorizonMeans(StatefulProcessor):
     """A key's mean of each source over [T - horizon, T), at grid instants T that the watermark has passed; 0.0 where a horizon is empty.
 
-    A score adds to the sums of its cell and source, in map state. An event-time timer stands at the next instant where something changes: a cell ends, or one has left a
-    horizon. As it fires, instants up to the watermark are told from the running sums of the cells in order, and cells that have left every horizon go, so state is
-    at most the longest horizon's cells. With `every` all instants from the first score on are told, else only those where a horizon's scores change, between which all
+    A score adds to the sums of its cell and source; map state holds the cells in blocks of BLOCK steps, so a call reads or writes many. An event-time timer stands at the next instant where something changes: a cell ends, or one has left a
+    horizon. As it fires, instants up to the watermark are told from the running sums of the cells in order, and blocks whose cells have all left every horizon go, so state is
+    at most the longest horizon's cells and one block's. With `every` all instants from the first score on are told, else only those where a horizon's scores change, between which all
     means stand still. Rows of cells that have been told are late, and go.
     """
 
@@ -29,32 +35,51 @@ class HorizonMeans(StatefulProcessor):
         self.horizons, self.step, self.every = horizons, step, every
         self.sources = sorted({s for s, _ in horizons.values()})
         self.longest = {s: max(n for t, n in horizons.values() if t == s) for s in self.sources}
+        self.span = BLOCK * step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cells = handle.getMapState("cells", "source string, at long", "x double, n long")
+        self.cells = handle.getMapState("cells", "source string, block long", "body binary")
         self.told = handle.getValueState("told", "upto long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         upto = self.told.get()[0] if self.told.exists() else None
+        new: dict[str, list[np.ndarray]] = {s: [] for s in self.sources}
         for part in rows:
             ends = (part["us"] // (self.step * 1_000_000) + 1) * self.step
-            some = part["source"].isin(self.sources) & part["score"].notna()
+            some = part["score"].notna() & ends.notna()
             if upto is not None:
                 some &= ends > upto
-            for (source, end), own in part["score"][some].groupby([part["source"][some], ends[some]]):
-                k = (source, int(end))
-                x, n = self.cells.getValue(k) if self.cells.containsKey(k) else (0.0, 0)
-                self.cells.updateValue(k, (x + float(own.sum()), n + len(own)))
-        self._wake(self._load(), upto)
+            for source in self.sources:
+                own = some & (part["source"] == source)
+                if own.any():
+                    new[source].append(_summed(np.column_stack([ends[own], part["score"][own], np.ones(own.sum())])))
+        for source, parts in new.items():
+            cells = _summed(np.concatenate(parts)) if parts else np.empty((0, 3))
+            blocks, firsts = np.unique(cells[:, 0] // self.span, return_index=True)
+            for block, own in zip(blocks, np.split(cells, firsts[1:])):
+                k = (source, int(block))
+                if self.cells.containsKey(k):
+                    own = _summed(np.concatenate([self._cells(self.cells.getValue(k)), own]))
+                self.cells.updateValue(k, (own.tobytes(),))
+        self._wake(self._load(upto), upto)
         return iter(())
 
-    def _load(self) -> dict[str, np.ndarray]:
-        """Of each source its cells in order: end, sum and count."""
-        held: dict[str, list[tuple]] = {s: [] for s in self.sources}
-        for (source, at), (x, n) in self.cells.iterator():
-            held[source].append((at, x, n))
-        return {s: np.array(sorted(rows), float).reshape(-1, 3) for s, rows in held.items()}
+    @staticmethod
+    def _cells(value: tuple) -> np.ndarray:
+        return np.frombuffer(value[0], float).reshape(-1, 3)
+
+    def _load(self, upto: int | None) -> dict[str, np.ndarray]:
+        """Of each source its cells in order, end, sum and count, without those that have left every horizon."""
+        held: dict[str, list[np.ndarray]] = {s: [np.empty((0, 3))] for s in self.sources}
+        for (source, _), value in self.cells.iterator():
+            held[source].append(self._cells(value))
+        made = {}
+        for source, blocks in held.items():
+            rows = np.concatenate(blocks)
+            rows = rows[np.argsort(rows[:, 0])]
+            made[source] = rows if upto is None else rows[rows[:, 0] + self.longest[source] > upto]
+        return made
 
     def _changes(self, cells: dict[str, np.ndarray]) -> np.ndarray:
         """Instants at which a cell enters or leaves a horizon."""
@@ -71,8 +96,8 @@ class HorizonMeans(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         mark = timerValues.getCurrentWatermarkInMs() // (self.step * 1000) * self.step
-        cells = self._load()
         upto = self.told.get()[0] if self.told.exists() else None
+        cells = self._load(upto)
         at = self._changes(cells)
         if self.every:
             at = np.arange(at[0] if upto is None and len(at) else (mark if upto is None else upto) + self.step * (upto is not None), mark + 1, self.step)
@@ -90,9 +115,10 @@ class HorizonMeans(StatefulProcessor):
             upto = int(at[-1]) if not self.every else int(mark)
             self.told.update((upto,))
             for source, rows in cells.items():
-                for end in rows[:, 0][rows[:, 0] + self.longest[source] <= upto].tolist():
-                    self.cells.removeKey((source, int(end)))
-                cells[source] = rows[rows[:, 0] + self.longest[source] > upto]
+                gone, block = rows[:, 0] + self.longest[source] <= upto, rows[:, 0] // self.span
+                for k in np.setdiff1d(block[gone], block[~gone]).tolist():
+                    self.cells.removeKey((source, int(k)))
+                cells[source] = rows[~gone]
         self._wake(cells, upto)
 
     def close(self) -> None:
