@@ -97,6 +97,24 @@ def test_long_and_short_searches_agree():
             assert index.search_long(own, weights, k) == index.search(list(zip(own.tolist(), weights.tolist())), k)
 
 
+def test_floors_and_matrices_spare_work(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{'ab'[i % 2]}{x}" for x in rng.zipf(1.3, rng.integers(20, 90)) % 900).encode() for i in range(900)]
+    index = search.Index(np.arange(len(texts)), search.joined([search.postings(texts)]), 50.0)
+    index.weight[:] = search.idf(len(texts), np.diff(index.firsts))
+    own = [index.find(np.unique(search.terms([text])[1])) for text in texts[::9]]
+    blocks = search.Blocks(index, own)
+    # A posting is in its cluster's matrix or in its term's list, so no query sums a common term document by document.
+    assert sum(np.count_nonzero(t) for t in blocks.tables) + len(blocks.postings) == len(index.doc) > 2 * len(blocks.postings)
+    scored = []
+    monkeypatch.setattr(index, "exact", lambda near, wanted: scored.append(len(near)) or search.Index.exact(index, near, wanted))
+    free, most = blocks.search(10), sum(scored)
+    scored.clear()
+    floors = np.array([best[4][0] for best in free])
+    assert [[x for x in best if x[0] >= f] for best, f in zip(blocks.search(10, floors), floors)] == [best[: sum(s >= f for s, _ in best)] for best, f in zip(free, floors)]
+    assert sum(scored) < 0.6 * most
+
+
 def test_search_of_edge_rows(edge, none):  # noqa: F811
     got = rows_of(search.top_k(edge, F.col("doc_id") == 5, k=4))
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"])][:2] == [5, 5]
