@@ -115,6 +115,33 @@ def test_floors_and_matrices_spare_work(monkeypatch):
     assert sum(scored) < 0.6 * most
 
 
+def test_search_alone_takes_floors():
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(1, 30)) % 300).encode() for _ in range(600)] * 2
+    index = search.Index(np.arange(len(texts)), search.joined([search.postings(texts)]), 15.0)
+    index.weight[:] = search.idf(len(texts), np.diff(index.firsts))
+    for text in texts[:600:20]:
+        own = index.find(np.unique(search.terms([text])[1]))
+        query = list(zip(own.tolist(), index.weight[own].tolist()))
+        free = index.search(query, 10)
+        for floor in {0.0, *(s for s, _ in free), free[-1][0] * 2}:
+            assert [x for x in index.search(query, 10, floor) if x[0] >= floor] == [x for x in free if x[0] >= floor]
+
+
+def test_short_queries_with_many_postings_go_in_batches(spark, monkeypatch):
+    # Every document has the common words, so a query of two of them has more postings than are gone through one by one.
+    docs_ = spark.createDataFrame([(i, f"the of w{i % 7} " + ("and " * (i % 5)) + (f"u{i} x{i}" if i % 2 else "")) for i in range(400)], "doc_id long, text string").repartition(2)
+    found = {}
+    for most in (search.WAND_POSTINGS, 1 << 40, 0):
+        monkeypatch.setattr(search, "WAND_POSTINGS", most)
+        found[most] = sorted(map(tuple, search.top_k(docs_, F.col("doc_id") % 20 == 0, shard_docs=150).collect()))
+    assert len(found[0]) == 200 and len(set(map(tuple, found.values()))) == 1
+    monkeypatch.undo()
+    index = search.Index(np.arange(400), search.joined([search.postings([r["text"].encode() for r in docs_.orderBy("doc_id").collect()])]), 4.0)
+    queries_ = [index.find(np.unique(search.terms([text])[1])) for text in (b"the of", b"u1 x1")]
+    assert [search.alone(index, x) for x in queries_] == [False, True]
+
+
 def test_search_of_edge_rows(edge, none):  # noqa: F811
     got = rows_of(search.top_k(edge, F.col("doc_id") == 5, k=4))
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"])][:2] == [5, 5]
