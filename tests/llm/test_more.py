@@ -142,6 +142,23 @@ def test_short_queries_with_many_postings_go_in_batches(spark, monkeypatch):
     assert [search.alone(index, x) for x in queries_] == [False, True]
 
 
+def test_terms_of_many_queries_are_read_together():
+    texts = [f"a b c{i % 5} d{i} e{i}".encode() for i in range(50)]
+    index = search.Index(np.arange(50), search.joined([search.postings(texts)]), 5.0)
+    order = np.lexsort((np.repeat(np.arange(50), np.diff(index.own_firsts)), index.own))
+    assert index.at.tolist() == order.tolist() and index.firsts.tolist() == [0, *np.cumsum(np.bincount(index.own)).tolist()]
+    assert index.doc.tolist() == np.repeat(np.arange(50), np.diff(index.own_firsts))[order].tolist()
+    known = np.sort(np.append(search.terms([b"a b c1 c2"])[1], np.uint64(5)))  # a dictionary, and one term of it that the shard lacks
+    numbers = np.arange(len(known)).astype("<u2")
+    rare = search.terms([b"d3 e7 missing"])[1]
+    # Two rows of one doc_id, a query without common terms, and one without any.
+    asked = pa.table({"numbers": pa.array([[numbers[:3].tobytes(), numbers[1:].tobytes()], [], [b""]], pa.list_(pa.binary())), "terms": pa.array([rare.view(np.int64).tolist(), rare[:1].view(np.int64).tolist(), []], pa.list_(pa.int64())), "dfs": pa.array([[1, 1, 1], [1], []], pa.list_(pa.int32()))})
+    for table in (asked, pa.concat_tables([asked.slice(0, 1), asked]).slice(1)):
+        got = search.asked_terms(index, index.find(known), 50, table)
+        want = [index.find(np.unique(np.concatenate([known, rare]))), index.find(rare[:1]), np.zeros(0, int)]
+        assert [x.tolist() for x in got] == [np.sort(x[x >= 0]).tolist() for x in want]
+
+
 def test_search_of_edge_rows(edge, none):  # noqa: F811
     got = rows_of(search.top_k(edge, F.col("doc_id") == 5, k=4))
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"])][:2] == [5, 5]
